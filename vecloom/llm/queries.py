@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, url_rules
+from . import bpe, sharding, simhash, toxicity, url_rules
 from .common import table, tune
 
 #: (verdict, host, path)
@@ -19,6 +19,7 @@ URL_RULES = [
     ("block", "com", "/de/"),
 ]
 SHARDS = 40
+TOXIC_FROM = 0.3
 
 
 def tokenizer_path() -> str:
@@ -33,6 +34,21 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("blocked")), URL_RULES)
 
 
+def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    scored = toxicity.score(docs, *toxicity.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -51,6 +67,8 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_rules": op2_url_rules,
+        "op5_simhash_ball": op5_simhash_ball,
+        "op6_toxicity": op6_toxicity,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op9_lpt_shards": op9_lpt_shards,
     }
