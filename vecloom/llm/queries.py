@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, toxicity, url_rules
+from . import bpe, sharding, simhash, substring, toxicity, url_rules
 from .common import table, tune
 
 #: (verdict, host, path)
@@ -34,6 +34,12 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("blocked")), URL_RULES)
 
 
+def op3_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    out = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -67,6 +73,7 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_rules": op2_url_rules,
+        "op3_repeated_windows": op3_repeated_windows,
         "op5_simhash_ball": op5_simhash_ball,
         "op6_toxicity": op6_toxicity,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
