@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, substring, toxicity, url_rules
+from . import bpe, media, sharding, simhash, substring, toxicity, url_rules
 from .common import table, tune
 
 #: (verdict, host, path)
@@ -28,6 +28,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    seen = media.look(media.store(table(spark, sf_dir, "documents")))
+    clip = F.transform("clips", lambda c: F.concat_ws("+", c["first"].cast("string"), c["frames"].cast("string"), c["level"].cast("string")))
+    return seen.select(
+        "doc_id",
+        "n_bytes",
+        F.length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, length(samples) - 31, 32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(" ", F.size("clips").cast("string"), clip).alias("feature"),
+    )
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
@@ -72,6 +88,7 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_avi_shots": op1_avi_shots,
         "op2_url_rules": op2_url_rules,
         "op3_repeated_windows": op3_repeated_windows,
         "op5_simhash_ball": op5_simhash_ball,
