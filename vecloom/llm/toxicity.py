@@ -34,7 +34,7 @@ PRIOR_WORDS = 16
 #: Weight of a text of class 1 in training.
 WEIGHT = 1.0
 MAX_TRAIN_ROWS = 8000
-MAX_TRAIN_BYTES = 24 << 20
+MAX_TRAIN_BYTES = 16 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -73,27 +73,48 @@ def word_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return bucket[order], np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(n)))))
 
 
-def train(texts: list[str | None], toxic: np.ndarray, epochs: int = 8, rate: float = 0.5, batch: int = 128, least: int = 3, damp: float = 0.05, seed: int = 5) -> tuple[np.ndarray, float]:
+def _by_slice(texts: list[str | None]) -> Iterator[tuple]:
+    """By slices of the texts: the words' names (hashes), their buckets and offsets, (text, word, count) of each pair."""
+    done = 0
+    for part in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"]), most=1 << 19):
+        data, off = lowered(part.column("text"))
+        start, end, row = spans(_LETTER[data], off)
+        name, first, kind = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
+        pair, count = np.unique(row * max(1, len(name)) + kind, return_counts=True)
+        yield name, *word_grams(data, start[first], end[first]), pair // max(1, len(name)) + done, pair % max(1, len(name)), count
+        done += part.num_rows
+
+
+def train(texts: list[str | None], toxic: np.ndarray, epochs: int = 8, rate: float = 0.4, batch: int = 64, least: int = 5, damp: float = 0.005, seed: int = 5) -> tuple[np.ndarray, float]:
     """(number for each bucket, bias) of the log-odds of class 1. Buckets met in fewer than `least` texts stay zero."""
     zero = np.zeros(1 << BUCKET_BITS, np.float32)
     if not len(toxic) or toxic.min() == toxic.max():
         return zero, 30.0 if len(toxic) and toxic.max() else -30.0
-    data, off = lowered(pa.array(texts, pa.string()))
-    start, end, row = spans(_LETTER[data], off)
-    _, first, kind = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
-    grams, gram_off = word_grams(data, start[first], end[first])
-    full = np.diff(gram_off).astype(np.float32)
-    pairs = np.unique(row * len(first) + kind)
-    pair_doc, pair_word = pairs // len(first), pairs % len(first)
-    pair_n = np.zeros(len(pairs), np.float32)
-    np.add.at(pair_n, np.searchsorted(pairs, row * len(first) + kind), 1)
+    met = np.zeros(1 << BUCKET_BITS)
+    for _, bucket, cut, _, word, _ in _by_slice(texts):
+        met += np.bincount(bucket, np.repeat(np.bincount(word, minlength=len(cut) - 1), np.diff(cut)), len(met))
+    often = met >= least
+    slot, n_slots = (np.cumsum(often) - 1).astype(np.int32), int(often.sum())
+    names, parts, sizes, fulls, docs, kinds, counts, seen = [], [], [], [], [], [], [], 0
+    for name, bucket, cut, doc, word, count in _by_slice(texts):
+        keep = often[bucket]
+        names.append(name)
+        parts.append(slot[bucket[keep]])
+        sizes.append(np.diff(np.concatenate(([0], np.cumsum(keep)))[cut]))
+        fulls.append(np.diff(cut).astype(np.float32))
+        docs.append(doc.astype(np.int32))
+        kinds.append((word + seen).astype(np.int32))
+        counts.append(count.astype(np.float32))
+        seen += len(name)
+    _, first, of = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    size, full = np.concatenate(sizes), np.concatenate(fulls)[first]
+    cut = np.concatenate(([0], np.cumsum(size)))
+    gram_off = np.concatenate(([0], np.cumsum(size[first])))
+    grams = np.concatenate(parts)[np.repeat(cut[first] - gram_off[:-1], size[first]) + np.arange(gram_off[-1])]
+    del parts, names
+    pair_doc, pair_word, pair_n = np.concatenate(docs), of[np.concatenate(kinds)].astype(np.int32), np.concatenate(counts)
     pair_off = np.searchsorted(pair_doc, np.arange(len(texts) + 1))
-    words = np.bincount(row, minlength=len(texts))
-    often = np.bincount(grams, np.bincount(pair_word, minlength=len(first))[np.repeat(np.arange(len(first)), full.astype(np.int64))], 1 << BUCKET_BITS) >= least
-    keep = often[grams]
-    gram_off = np.concatenate(([0], np.cumsum(keep)))[gram_off]
-    slot = np.cumsum(often) - 1
-    grams, n_slots = slot[grams[keep]], int(often.sum())
+    words = np.bincount(pair_doc, pair_n, len(texts))
     rng = np.random.default_rng(seed)
     vec = rng.uniform(-1, 1, (n_slots, DIM)).astype(np.float32) / DIM
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
