@@ -18,7 +18,7 @@ BATCH_ROWS = 1000
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
-_folders: list[tuple[SparkSession, str]] = []
+_folders: list[tuple[SparkSession, str] | None] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +51,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many intermediate tables there are, for release()."""
+    return len(_folders)
+
+
+def release(first: int, last: int, used_by: DataFrame | None = None) -> None:
+    """Deletes the intermediate tables of these numbers, but for those that `used_by` reads."""
+    read = used_by.inputFiles() if used_by is not None else []
+    for i in range(first, min(last, len(_folders))):
+        if _folders[i] and not any(f"/{_folders[i][1].rsplit('/', 1)[1]}/" in f for f in read):
+            _delete(*_folders[i])
+            _folders[i] = None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _folders:
+    for spark, path in filter(None, _folders):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the cluster's own sweeping of the folder remains
             return
 
@@ -165,6 +182,13 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(_ODD[seed][0]))
 
 
+def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run values[start:end] of 64-bit values, of any length."""
+    up, down = _power(seed, len(values) + 1)
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(values ^ _U(_ODD[seed][0])) * up[:-1])))
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(_ODD[seed][0]))
+
+
 def roll(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """The hash of each k consecutive hashes; len(h) - k + 1 values."""
     n = len(h) - k + 1

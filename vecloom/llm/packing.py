@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import materialise, slices, text_bytes
 
@@ -44,11 +45,14 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(d) + np.uint64(int.from_bytes(blob[1:9], "little"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     """Whole texts in blocks of about 2 MB (a longer text is a block of its own): block, ids, cuts, texts (compressed).
 
-    Written to the shared folder, so that whatever refers to a block by its number meets the same rows after a retry.
+    With `rest`, also these columns of the rows, as an array of structs. Written to the shared folder, so that whatever
+    refers to a block by its number meets the same rows after a retry.
     """
+    cols = ["doc_id", "text"] if rest is None else ["doc_id", "text", *(c for c in rest if c not in ("doc_id", "text"))]
+    others = cols[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -57,13 +61,14 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             nonlocal made
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches(held).combine_chunks()
             data, off = text_bytes(table.column("text"))
             made += 1
-            return pa.record_batch(
-                [pa.array([part << 32 | made - 1]), pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([off], pa.list_(pa.int64())), pa.array([squeeze(data.tobytes())], pa.binary())],
-                names=["block", "ids", "cuts", "texts"],
-            )
+            columns = [pa.array([part << 32 | made - 1]), pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([off], pa.list_(pa.int64())), pa.array([squeeze(data.tobytes())], pa.binary())]
+            if others:
+                rows = pa.StructArray.from_arrays([table.column(c).chunk(0) for c in others], names=others)
+                columns.append(pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows))
+            return pa.record_batch(columns, names=["block", "ids", "cuts", "texts", *(["rest"] if others else [])])
 
         for batch in batches:
             for piece in slices(batch):
@@ -76,7 +81,9 @@ def blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, "block long, ids array<long>, cuts array<long>, texts binary"), "blocks")
+    kinds = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in others)
+    more = f", rest array<struct<{kinds}>>" if others else ""
+    return materialise(docs.select(*(f"`{c}`" for c in cols)).mapInArrow(run, "block long, ids array<long>, cuts array<long>, texts binary" + more), "blocks")
 
 
 def opened(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
@@ -100,3 +107,52 @@ def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.n
     keep[to[first[1:][full]] - 1] = False
     cut = to[first] - np.concatenate(([0], np.cumsum(full)))
     return pa.LargeStringArray.from_buffers(rows, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(stream[keep].tobytes())).cast(pa.string())
+
+
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each upper `bits` bits of the values `a`."""
+    size = min(bits, 20)
+
+    def mark(group: pa.Table) -> pa.Table:
+        seen = np.zeros(1 << size, bool)
+        at = group.column("a").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        seen[(at & np.uint64((1 << size) - 1)).astype(np.int64)] = True
+        return pa.table({"g": group.column("g")[:1], "bits": pa.array([squeeze(np.packbits(seen).tobytes())], pa.binary())})
+
+    out = np.zeros((1 << bits - size, max(1, (1 << size) // 8)), np.uint8)
+    g = F.shiftrightunsigned("a", 64 - bits + size).cast("int") if bits > size else F.lit(0)
+    for k, b in values.select("a", g.alias("g")).distinct().groupBy("g").applyInArrow(mark, "g int, bits binary").toLocalIterator():
+        out[k] = np.frombuffer(swell(b), np.uint8)
+    return out.ravel()
+
+
+def set_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether these bits of a bitmap are set."""
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, most_bits: int = 27) -> DataFrame:
+    """The rows of docs whose `key` (long) is not in `gone` (one column of distinct longs).
+
+    A bitmap of bounded size over a hash of `gone` passes most rows that stay at once; only the others are joined.
+    """
+    name = gone.columns[0]
+    n = gone.count()
+    if not n:
+        return docs
+    bits = int(np.ceil(np.log2(min(1 << most_bits, max(1 << 16, 32 * n)))))
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64(name).alias("a")), bits))
+    width = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(width).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            yield pa.record_batch([*batch.columns[:width], batch.column(width), pa.array(set_in(seen.value, h))], names=marked)
+
+    key_name, hit = "__key", "__hit"
+    marked = [*docs.columns, key_name, hit]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.withColumn(key_name, F.xxhash64(key)).mapInArrow(run, f"{fields}, {key_name} long, {hit} boolean")
+    left = rows.filter(f"NOT {hit}").drop(key_name, hit)
+    again = rows.filter(hit).join(gone.select(F.xxhash64(name).alias(key_name)), key_name, "left_anti").drop(key_name, hit)
+    return left.unionByName(again)

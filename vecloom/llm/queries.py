@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, sharding, simhash, substring, toxicity, url_rules
+from . import bpe, decontamination, lines, media, quality, sharding, simhash, substring, toxicity, url_rules
 from .common import table, tune
 
 #: (verdict, host, path)
@@ -56,6 +56,11 @@ def op3_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")).select("doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -82,19 +87,34 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    judged = quality.classify(table(spark, sf_dir, "documents"), trusted)
+    return judged.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("limit").alias("threshold"), F.col("keep").cast("int").alias("keep"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_avi_shots": op1_avi_shots,
         "op2_url_rules": op2_url_rules,
         "op3_repeated_windows": op3_repeated_windows,
+        "op4_fuzzy_lines": op4_fuzzy_lines,
         "op5_simhash_ball": op5_simhash_ball,
         "op6_toxicity": op6_toxicity,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
+        "op8_templates": op8_templates,
         "op9_lpt_shards": op9_lpt_shards,
+        "op10_kneser_ney": op10_kneser_ney,
     }
 
 

@@ -21,13 +21,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, power_of_two, slices, text_bytes, words
 from .components import components
+from .packing import pack, unpack, without
 
 SHINGLE = 4
 RADIUS = 4
@@ -81,16 +81,18 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns and fp (long) of every row."""
+    width = len(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 fp = fingerprints_of(part.column("text"), shingle).view(np.int64)
-                yield pa.record_batch([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.record_batch([*part.columns[:width], pa.array(fp)], names=[*cols, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
+    return docs.select(*cols, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def masks(radius: int) -> np.ndarray:
@@ -98,22 +100,6 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(64), k)], np.uint64)
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences, byte by byte apart, compressed."""
-    d = np.diff(keys, prepend=keys[:1])
-    wide = int(d.max()) >= 1 << 32 if len(d) else False
-    planes = d.astype("<u8" if wide else "<u4").view(np.uint8).reshape(len(d), -1).T
-    head = len(d).to_bytes(4, "little") + bytes([wide]) + (int(keys[0]) if len(keys) else 0).to_bytes(8, "little")
-    return head + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    n, wide, first = int.from_bytes(blob[:4], "little"), blob[4], int.from_bytes(blob[5:13], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[13:]), np.uint8).reshape(-1, n)
-    d = np.ascontiguousarray(planes.T).view("<u8" if wide else "<u4").ravel().astype(np.uint64)
-    return np.cumsum(d) + np.uint64(first)
-
-
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made = TaskContext.get().partitionId(), 0
     held: list[np.ndarray] = []
@@ -223,13 +209,34 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.unionByName(stars).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).filter("a <> b").distinct()
 
 
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, component (a fingerprint of the group) of each distinct fingerprint."""
+    distinct = materialise(fps.select("fp").distinct(), "distinct")
+    of = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return materialise(distinct.join(of, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "grouped")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable over links, the own included) of every row."""
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    of = components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    named = distinct.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialise(named, "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "component").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    of = _grouped(fps, radius)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(of.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Of each group of near-duplicates the row with the least doc_id (nulls last; then by a hash of the text)."""
+    row = F.xxhash64("doc_id", "text")
+    fps = materialise(fingerprints(docs.select("doc_id", "text", row.alias("row")), shingle, ("doc_id", "row")), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = fps.groupBy("fp").agg(F.min(place).alias("first")).join(_grouped(fps, radius), "fp")
+    kept = firsts.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    counted = materialise(fps.groupBy("row").agg(F.count(F.lit(1)).alias("n")), "rows")
+    gone = materialise(counted.join(kept, "row", "left_anti").select("row"), "gone")
+    # rows equal in id and text: the one that stays is written once
+    twice = materialise(counted.filter("n > 1").join(kept, "row", "left_semi").select("row"), "twice")
+    left = without(docs, row, gone)
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, row == twice["row"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(left, row, twice).unionByName(again)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import hash_spans, mix, power_of_two, roll, total_bytes, within, words
-from .packing import blocks, joined_words, opened, pack, planes, squeeze, swell, unpack, unplanes
+from .packing import blocks, joined_words, opened, pack, planes, set_in, squeeze, swell, unpack, unplanes
 
 WIDTH = 13
 RUN = 6
@@ -127,7 +127,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 ok = within(row, width)
                 hit = np.ones(int(ok.sum()), bool)
                 for bit, cell in zip(seen.value, cells(anchors(h, width)[ok], bits), strict=True):
-                    hit &= (bit[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    hit &= set_in(bit, cell)
                 if not hit.any():
                     continue
                 a, b = roll(h, width)[ok][hit], roll(hash_spans(data, start, end, 1), width, 1)[ok][hit]

@@ -209,5 +209,17 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_cols: tuple[str,
     return docs.select(*id_cols, "text").mapInArrow(run, f"{kinds}, score double")
 
 
+def keep(docs: DataFrame, weights: np.ndarray, bias: float, below: float) -> DataFrame:
+    """The rows of docs that score less than `below`."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(score_texts(part.column("text"), shared.value, bias) < below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return train(*sample(docs, labels))
