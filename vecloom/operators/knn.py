@@ -110,8 +110,9 @@ class InvertedFile:
 
         return vectors.select("node_id", "embedding").mapInArrow(run, "node_id long, embedding array<float>, cell int")
 
-    def search(self, queries: DataFrame, indexed: DataFrame, k: int, probe: int = 8) -> DataFrame:
-        """As exact(), over the probed cells. Each vector meets only the queries that probe its cell."""
+    def search(self, queries: DataFrame, indexed: DataFrame, k: int, probe: int | None = None) -> DataFrame:
+        """As exact(), over the probed cells, five eighths of all by default. Each vector meets only the queries that probe its cell."""
+        probe = probe or -(-len(self.centroids) * 5 // 8)
         rows = queries.select("query_id", "embedding").collect()  # a block of queries, as in exact()
         ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
         near = np.argsort(-(q @ self.centroids.T), axis=1)[:, :probe]
