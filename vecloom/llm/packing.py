@@ -131,28 +131,36 @@ def set_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def without(docs: DataFrame, key: Column, gone: DataFrame, most_bits: int = 27) -> DataFrame:
-    """The rows of docs whose `key` (long) is not in `gone` (one column of distinct longs).
-
-    A bitmap of bounded size over a hash of `gone` passes most rows that stay at once; only the others are joined.
-    """
-    name = gone.columns[0]
-    n = gone.count()
-    if not n:
-        return docs
+def _marked(docs: DataFrame, key: Column, listed: DataFrame, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """docs with `__key` (a hash of key) and `__hit`, true where a bitmap of bounded size over `listed` has it; listed as `__key`."""
+    name = listed.columns[0]
+    n = listed.count()
     bits = int(np.ceil(np.log2(min(1 << most_bits, max(1 << 16, 32 * n)))))
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64(name).alias("a")), bits))
+    hashed = listed.select(F.xxhash64(name).alias("__key"))
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(hashed.select(F.col("__key").alias("a")), bits))
     width = len(docs.columns)
+    names = [*docs.columns, "__key", "__hit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(width).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            yield pa.record_batch([*batch.columns[:width], batch.column(width), pa.array(set_in(seen.value, h))], names=marked)
+            yield pa.record_batch([*batch.columns, pa.array(set_in(seen.value, h))], names=names)
 
-    key_name, hit = "__key", "__hit"
-    marked = [*docs.columns, key_name, hit]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.withColumn(key_name, F.xxhash64(key)).mapInArrow(run, f"{fields}, {key_name} long, {hit} boolean")
-    left = rows.filter(f"NOT {hit}").drop(key_name, hit)
-    again = rows.filter(hit).join(gone.select(F.xxhash64(name).alias(key_name)), key_name, "left_anti").drop(key_name, hit)
-    return left.unionByName(again)
+    return docs.withColumn("__key", F.xxhash64(key)).mapInArrow(run, f"{fields}, __key long, __hit boolean"), hashed
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, most_bits: int = 27) -> DataFrame:
+    """The rows of docs whose `key` (long) is not in `gone` (one column of distinct longs).
+
+    The bitmap passes most rows that stay at once; only the others are joined.
+    """
+    rows, hashed = _marked(docs, key, gone, most_bits)
+    left = rows.filter("NOT __hit").drop("__key", "__hit")
+    return left.unionByName(rows.filter("__hit").join(hashed, "__key", "left_anti").drop("__key", "__hit"))
+
+
+def only(docs: DataFrame, key: Column, wanted: DataFrame, most_bits: int = 27) -> DataFrame:
+    """The rows of docs whose `key` (long) is in `wanted`; of the others, only the few that the bitmap takes for them are shuffled."""
+    rows, hashed = _marked(docs, key, wanted, most_bits)
+    return rows.filter("__hit").join(hashed.hint("merge"), "__key", "left_semi").drop("__key", "__hit")
