@@ -201,6 +201,29 @@ def roll(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+_LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
+
+
+def bit_counts(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each of the consecutive runs of `size` values (none of them empty): (run, bit).
+
+    Eight counters of eight bits share a word, so runs are summed in pieces of at most 255 values.
+    """
+    pieces = -(-size // 255)
+    first = np.concatenate(([0], np.cumsum(size)))[:-1]
+    of = np.concatenate(([0], np.cumsum(pieces)))[:-1]
+    at = np.repeat(first - of * 255, pieces) + np.arange(pieces.sum()) * 255
+    lanes = _LANES[np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)]
+    counts = np.add.reduceat(lanes, at, axis=0).astype("<u8").view(np.uint8).reshape(len(at), 64)
+    return np.add.reduceat(counts.astype(np.int32), of, axis=0) if len(at) > len(size) else counts.astype(np.int32)
+
+
+def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each run the 64-bit value whose bits are 1 where they are in over half the run's values."""
+    over = bit_counts(h, size) * 2 > size[:, None]
+    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def within(row: np.ndarray, k: int) -> np.ndarray:
     """For each k consecutive words: whether they are of one row."""
     n = len(row) - k + 1

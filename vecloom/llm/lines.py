@@ -6,9 +6,10 @@ where their word SimHashes differ in at most RADIUS bits and their edit similari
 the normalised lines) is at least `similarity`. Of each connected group the first occurrence (by doc_id, then place)
 stays, all others go.
 
-The SimHash's 64 bits are cut into PIECES pieces. Of two values that differ in RADIUS bits at least PIECES - RADIUS
-pieces are equal, so joining on each choice of that many pieces misses none; a pair is taken up where the first such
-choice has it. Only candidate lines' texts are fetched, through a bitmap of bounded size over their hashes.
+The SimHash's 64 bits are cut into pieces. Of two values that differ in RADIUS bits all but RADIUS pieces are equal, so
+joining on each choice of that many misses none. A family of lines is not written out as pairs: first each line meets
+only the first one near it in each join, which connects most families; then those near pairs are verified that lie in
+different components so far. Only candidate lines' texts are fetched, through a bitmap of bounded size.
 
 Defined results: null and empty texts have one empty line, which stays; a text may end up empty; lines are cut at \\n
 only; a null id comes last in the order; rows with equal ids are different texts; other columns pass unchanged, but
@@ -25,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_runs, hash_spans, materialise, power_of_two, spans, text_bytes
+from .common import hash_runs, hash_spans, majority, materialise, mix, power_of_two, spans, text_bytes
 from .components import components
 from .packing import bitmap, blocks, joined_words, opened, planes, set_in, unplanes
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 3
-PIECES = 5
+#: Bits of a word's hash that the SimHash takes; the rest numbers the lines of a block (2**24 at most).
+LOW_BITS = 40
 #: Most bits of the bitmap that finds the candidates' texts, and values of a group, as powers of two.
 BITMAP_BITS = 27
 GROUP_BITS = 18
@@ -67,21 +69,23 @@ def normalised(data: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[
 
 
 def simhash(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(first), np.uint64)
-    for i in range(0, len(first), 1024):
-        a, b = first[i : i + 1024], end[i : i + 1024]
-        size = b - a
-        at = np.concatenate(([0], np.cumsum(size)))
-        part = h[np.repeat(a - at[:-1], size) + np.arange(at[-1])].astype("<u8")
-        ones = np.add.reduceat(np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64), at[:-1], axis=0, dtype=np.int32)
-        out[i : i + 1024] = np.packbits((ones * 2 > size[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    """Of each line (words first to end): over its different words, so that frequent ones don't rule it."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    size = end - first
+    at = np.concatenate(([0], np.cumsum(size)))
+    key = h[np.repeat(first - at[:-1], size) + np.arange(at[-1])] & np.uint64((1 << LOW_BITS) - 1)
+    key |= np.repeat(np.arange(len(first), dtype=np.uint64), size) << np.uint64(LOW_BITS)
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return majority(mix(key & np.uint64((1 << LOW_BITS) - 1)), np.bincount((key >> np.uint64(LOW_BITS)).astype(np.int64)))
 
 
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance; columns of bits in Python's long integers."""
     n = min(len(a), len(b))
-    lo = next((i for i in range(n) if a[i] != b[i]), n)
+    lo = next((i for i in range(0, n, 64) if a[i : i + 64] != b[i : i + 64]), n)
+    lo = next((i for i in range(lo, n) if a[i] != b[i]), n)
     a, b = a[lo:], b[lo:]
     n = min(len(a), len(b))
     hi = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
@@ -105,15 +109,22 @@ def edit_distance(a: str, b: str) -> int:
         elif mh & top:
             score -= 1
         ph, mh = (ph << 1 | 1) & full, mh << 1 & full
-        up, down = mh | ~(d | ph) & full, ph & d
+        up, down = mh | ~(x | ph) & full, ph & x
     return score
 
 
-def _choices() -> list[np.uint64]:
-    """Masks of the bits of each choice of PIECES - RADIUS pieces."""
-    edge = np.linspace(0, 64, PIECES + 1).astype(int)
+def similar(a: str, b: str, similarity: float) -> bool:
+    longer = max(len(a), len(b))
+    most = int(longer * (1 - similarity) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+
+
+def choices(n: int) -> list[np.uint64]:
+    """Masks of the bits of each choice of all but RADIUS pieces, for n values: as few pieces as leave about 32 values to a key."""
+    pieces = next(p for p in range(RADIUS + 1, 16) if 64 * (p - RADIUS) // p >= np.log2(max(n, 2)) - 5)
+    edge = np.linspace(0, 64, pieces + 1).astype(int)
     piece = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edge, edge[1:], strict=False)]
-    return [np.uint64(sum(c)) for c in combinations(piece, PIECES - RADIUS)]
+    return [np.uint64(sum(c)) for c in combinations(piece, pieces - RADIUS)]
 
 
 def _lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
@@ -126,53 +137,63 @@ def _lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
         yield block, ids, low, start, end, first[:-1][use], first[1:][use], use, row[use]
 
 
-def _candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """Pairs (x, y) of gid whose sim differ in at most RADIUS bits."""
-    choices = _choices()
+def _candidates(nodes: DataFrame, n: int, apart: bool) -> DataFrame:
+    """Pairs (x, y) of gid whose sim differ in at most RADIUS bits.
+
+    apart: all those of different `component`. Else, for each y and each join, the one with the first x.
+    """
+    masks = choices(n)
     groups = power_of_two(n / (1 << GROUP_BITS), 2, 16)
+    names = ["gid", "sim", "component"][: 2 + apart]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(gid: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for c, mask in enumerate(choices):
-                g = hash_runs(sim & mask, np.arange(len(sim)), np.arange(1, len(sim) + 1)) >> np.uint64(48)
-                g = g.astype(np.int64) % groups
+        for batch in batches:
+            columns = [batch.column(v).to_numpy() for v in names]
+            sim = columns[1].view(np.uint64)
+            for c, mask in enumerate(masks):
+                g = (mix(sim & mask) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(g, kind="stable")
                 cut = np.searchsorted(g[order], np.arange(groups + 1)).tolist()
                 parts = [(k, order[cut[k] : cut[k + 1]]) for k in range(groups) if cut[k] < cut[k + 1]]
-                yield pa.record_batch(
-                    [pa.array([c * groups + k for k, _ in parts], pa.int64()), pa.array([planes(gid[o]) for _, o in parts], pa.binary()), pa.array([planes(sim[o]) for _, o in parts], pa.binary())],
-                    names=["g", "gid", "sim"],
-                )
-
-        for batch in batches:
-            gid, sim = batch.column("gid").to_numpy(), batch.column("sim").to_numpy().view(np.uint64)
-            for i in range(0, len(gid), CHUNK):
-                yield from out(gid[i : i + CHUNK], sim[i : i + CHUNK])
+                packed = [pa.array([planes(v[o]) for _, o in parts], pa.binary()) for v in columns]
+                yield pa.record_batch([pa.array([c * groups + k for k, _ in parts], pa.int64()), *packed], names=["g", *names])
 
     def meet(group: pa.Table) -> pa.Table:
         c = group.column("g")[0].as_py() // groups
-        gid = np.concatenate([unplanes(x.as_py(), "<i8") for x in group.column("gid")])
-        sim = np.concatenate([unplanes(x.as_py(), "<u8") for x in group.column("sim")])
-        key = sim & choices[c]
-        order = np.argsort(key, kind="stable")
+        gid, sim, *rest = (np.concatenate([unplanes(x.as_py(), kind) for x in group.column(v)]) for v, kind in zip(names, ("<i8", "<u8", "<i8"), strict=False))
+        key = sim & masks[c]
+        order = np.lexsort((gid, key))
         gid, sim, key = gid[order], sim[order], key[order]
+        own = rest[0][order] if apart else gid
         lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         last = np.append(lead[1:], len(key))
-        stop = np.repeat(last, last - lead)
-        xs, ys = [], []
-        for step in range(1, int((last - lead).max())):  # each with the one `step` places on, as far as their group goes
-            i = np.flatnonzero(np.arange(len(key)) + step < stop)
-            d = sim[i] ^ sim[i + step]
-            ok = np.bitwise_count(d) <= RADIUS
-            for m in choices[:c]:
-                ok &= (d & m) != 0
-            xs.append(gid[i[ok]])
-            ys.append(gid[i[ok] + step])
+        i, step, xs, ys = np.arange(len(key)), 0, [], []
+        if apart:
+            stop = np.repeat(last, last - lead)
+            while len(i):  # each with the one `step` places on, as far as its key goes
+                step += 1
+                i = i[i + step < stop[i]]
+                d = sim[i] ^ sim[i + step]
+                ok = (np.bitwise_count(d) <= RADIUS) & (own[i] != own[i + step])
+                for m in masks[:c]:
+                    ok &= (d & m) != 0
+                xs.append(i[ok])
+                ys.append(i[ok] + step)
+        else:
+            start = np.repeat(lead, last - lead)
+            while len(i):  # those without a partner yet with the one `step` places after their key's first
+                i = i[i - start[i] > step]
+                x = start[i] + step
+                ok = np.bitwise_count(sim[i] ^ sim[x]) <= RADIUS
+                xs.append(x[ok])
+                ys.append(i[ok])
+                i = i[~ok]
+                step += 1
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+        return pa.table({"x": pa.array(np.minimum(gid[x], gid[y]), pa.int64()), "y": pa.array(np.maximum(gid[x], gid[y]), pa.int64())})
 
-    packed = nodes.select("gid", "sim").mapInArrow(spread, "g long, gid binary, sim binary")
-    return packed.groupBy("g").applyInArrow(meet, "x long, y long")
+    packed = nodes.select(*names).mapInArrow(spread, "g long, " + ", ".join(f"{v} binary" for v in names))
+    return packed.groupBy("g").applyInArrow(meet, "x long, y long").distinct()
 
 
 def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
@@ -186,7 +207,7 @@ def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, least: int) ->
         seen, shift = shared.value, np.uint64(64 - bits)
         for batch in batches:
             for _, _, low, start, end, first, stop, _, _ in _lines(batch, least):
-                h, other = hash_spans(low, start, end), hash_spans(low, start, end, 1)
+                h = hash_spans(low, start, end)
                 a = hash_runs(h, first, stop)
                 hit = np.flatnonzero(set_in(seen, a >> shift))
                 _, once = np.unique(a[hit], return_index=True)
@@ -195,23 +216,23 @@ def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, least: int) ->
                 cut = np.concatenate(([0], np.cumsum(size)))
                 w = np.repeat(first[hit] - cut[:-1], size) + np.arange(cut[-1])
                 line = joined_words(low, start[w], end[w], np.repeat(np.arange(len(hit)), size), len(hit))
-                b = hash_runs(other, first[hit], stop[hit], 1)
+                b = hash_runs(h, first[hit], stop[hit], 1)
                 yield pa.record_batch([pa.array(a[hit].view(np.int64)), pa.array(b.view(np.int64)), line], names=["a", "b", "line"])
 
     got = texts.select("block", "ids", "cuts", "texts").mapInArrow(fetch, "a long, b long, line string")
     return materialise(got.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("line").alias("line")).join(wanted, ["a", "b"]).select("gid", "line"), "candidates")
 
 
-def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
+def _verify(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose edit similarity is high enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                longer = max(len(s), len(t))
-                ok.append(abs(len(s) - len(t)) <= (1 - similarity) * longer and edit_distance(s, t) <= (1 - similarity) * longer + 1e-9)
+            ok = [similar(s, t, similarity) for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    both = pairs.join(known.select(F.col("gid").alias("x"), F.col("line").alias("s")), "x").join(known.select(F.col("gid").alias("y"), F.col("line").alias("t")), "y")
+    return both.select("x", "y", "s", "t").mapInArrow(run, "a long, b long")
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -222,8 +243,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, low, start, end, first, stop, line, row in _lines(batch, min_words):
-                h, other = hash_spans(low, start, end), hash_spans(low, start, end, 1)
-                a, b = hash_runs(h, first, stop), hash_runs(other, first, stop, 1)
+                h = hash_spans(low, start, end)
+                a, b = hash_runs(h, first, stop), hash_runs(h, first, stop, 1)
                 own = ids.fill_null(_LAST).to_numpy()[row]
                 _, once, of = np.unique(a, return_index=True, return_inverse=True)
                 sim = simhash(h, first[once], stop[once])[of]
@@ -236,10 +257,19 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     place = F.struct("own", "block", "at")
     nodes = lines.groupBy("a", "b").agg(F.min("sim").alias("sim"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
     nodes = materialise(nodes.withColumn("gid", F.monotonically_increasing_id()), "nodes")
-    pairs = materialise(_candidates(nodes, nodes.count()), "pairs")
+    n = nodes.count()
+    pairs = materialise(_candidates(nodes, n, False), "pairs")
     known = _texts(texts, nodes, pairs, min_words)
-    both = pairs.join(known.select(F.col("gid").alias("x"), F.col("line").alias("s")), "x").join(known.select(F.col("gid").alias("y"), F.col("line").alias("t")), "y")
-    of = components(_verify(both.select("x", "y", "s", "t"), similarity))
+    near = materialise(_verify(pairs, known, similarity), "near")
+    of = components(near)
+    some = nodes.join(known.select("gid"), "gid", "left_semi").join(of.withColumnRenamed("node", "gid"), "gid", "left")
+    some = materialise(some.select("gid", "sim", F.coalesce("component", "gid").alias("component")), "met")
+    more = materialise(_verify(_candidates(some, n, True), known, similarity), "more")
+    if not more.isEmpty():  # components that turn out to be one
+        where = some.select("gid", "component")
+        ends = more.join(where.withColumnRenamed("component", "p").withColumnRenamed("gid", "a"), "a").join(where.withColumnRenamed("component", "q").withColumnRenamed("gid", "b"), "b")
+        joined = components(ends.select("p", "q"), "p", "q").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        of = some.join(joined, "component", "left").select(F.col("gid").alias("node"), F.coalesce("whole", "component").alias("component"))
     grouped = nodes.join(of, nodes["gid"] == of["node"], "left").filter("n > 1 OR component IS NOT NULL").select("a", "b", "place", F.coalesce("component", "gid").alias("component"))
     grouped = materialise(grouped, "grouped")
     kept = grouped.groupBy("component").agg(F.min("place").alias("kept"))

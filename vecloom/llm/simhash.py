@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, power_of_two, slices, text_bytes, words
+from .common import majority, materialise, mix, power_of_two, slices, text_bytes, words
 from .components import components
 from .packing import pack, unpack, without
 
@@ -71,13 +71,7 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     b = to[np.minimum(w + shingle, first[doc] + count[doc])] - 1
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(text[i:j], SEED) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
-    for i in range(0, len(has), 256):  # 64 bytes a shingle are unpacked at once
-        c = base[i : min(i + 256, len(has)) + 1]
-        part = h[c[0] : c[-1]].astype("<u8")
-        bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones = np.add.reduceat(bits, c[:-1] - c[0], axis=0, dtype=np.int32)
-        over = (ones * 2 > np.diff(c)[:, None]).astype(np.uint8)
-        out[has[i : i + 256]] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    out[has] = majority(h, shingles[has])
     return out
 
 
