@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch sent to a Python worker; with MAX_DOC_BYTES-sized texts a batch stays below 130 MB.
 BATCH_ROWS = 1000
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _folders: list[tuple[SparkSession, str] | None] = []
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
+from .common import SLICE_BYTES, materialise, slices, text_bytes
 
 
 def squeeze(data: bytes) -> bytes:
@@ -46,7 +46,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
-    """Whole texts in blocks of about 2 MB (a longer text is a block of its own): block, ids, cuts, texts (compressed).
+    """Whole texts in blocks of about 1 MB (a longer text is a block of its own): block, ids, cuts, texts (compressed).
 
     With `rest`, also these columns of the rows, as an array of structs. Written to the shared folder, so that whatever
     refers to a block by its number meets the same rows after a retry.
@@ -73,7 +73,7 @@ def blocks(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
         for batch in batches:
             for piece in slices(batch):
                 n = pa.compute.sum(pa.compute.binary_length(piece.column("text"))).as_py() or 0
-                if held and (size + n > 2 << 20 or len(held) > 64):
+                if held and (size + n > SLICE_BYTES or len(held) > 64):
                     yield out()
                     held, size = [], 0
                 held.append(piece)
