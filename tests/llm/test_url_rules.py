@@ -85,7 +85,7 @@ def test_match_finds_the_best_rule(mined):
     got = {tuple(r["items"]): tuple(r.mined) for r in U.match(items, rules).collect()}
     for r in items.collect():
         fit = [k for k in known if set(k.antecedent) <= set(r["items"])]
-        best = max(fit, key=lambda k: (k.confidence, k.support, k.rule_id), default=None)
+        best = max(fit, key=lambda k: (k.confidence, k.support, " ".join(k.antecedent)), default=None)
         assert got.get(tuple(r["items"])) == (tuple(best.antecedent) if best else None)
 
 

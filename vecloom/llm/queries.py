@@ -118,5 +118,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: All item combinations of labelled pages counted by brute force, for the rules that FP-growth finds.
+_URL_SQL = r"""WITH p AS (SELECT page_id, url AS u, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+  h AS (SELECT page_id, u, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+  rules(rule, verdict, rhost, rpath) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
+    ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+  hit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS listed FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+  raw AS (SELECT page_id, unnest(list_transform(string_split(host, '.'), lambda x: 'h:' || x) || list_transform(string_split(path, '/'), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+    || list_transform(string_split(coalesce(regexp_extract(u, '\?([^#]*)', 1), ''), '&'), lambda x: 'q:' || string_split(x, '=')[1])) AS item FROM h),
+  items AS (SELECT DISTINCT page_id, item FROM raw WHERE length(item) > 2),
+  marks AS (SELECT doc_id AS page_id, max(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels GROUP BY doc_id),
+  labelled AS (SELECT h.page_id, bad FROM h JOIN marks USING (page_id)),
+  least AS (SELECT greatest(5, floor(count(*) * 0.0005)) AS n, count(*) AS every FROM labelled),
+  often AS (SELECT item FROM items JOIN labelled USING (page_id) GROUP BY item HAVING sum(bad::INT) >= (SELECT n FROM least)),
+  basket AS (SELECT page_id, any_value(bad) AS bad, list(item ORDER BY item) AS l FROM items JOIN labelled USING (page_id) JOIN often USING (item) GROUP BY page_id),
+  subsets AS (SELECT page_id, bad, l, unnest(range(1, 1 << len(l))) AS m FROM basket),
+  sets AS (SELECT page_id, bad, list_filter(l, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM subsets),
+  mined AS (SELECT s, sum(bad::INT) / count(*) AS confidence, sum(bad::INT) / (SELECT every FROM least) AS support FROM sets GROUP BY s
+    HAVING sum(bad::INT) >= (SELECT n FROM least) AND sum(bad::INT) / count(*) >= 0.5),
+  have AS (SELECT page_id, list(item) AS l FROM items GROUP BY page_id),
+  best AS (SELECT page_id, arg_max(array_to_string(s, ' '), {'c': confidence, 's': support, 't': array_to_string(s, ' ')}) AS mined, max(confidence) AS confidence FROM have JOIN mined ON list_has_all(l, s) GROUP BY page_id)
+  SELECT h.page_id, host, path, rule, coalesce(listed, CASE WHEN mined IS NOT NULL THEN 'block' END, 'allow') AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined, CASE WHEN rule IS NULL THEN confidence END AS confidence
+  FROM h LEFT JOIN hit USING (page_id) LEFT JOIN best USING (page_id)"""
+
+_WINDOW_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+  first AS (SELECT k, min(doc_id) AS doc FROM win GROUP BY k),
+  gone AS (SELECT DISTINCT doc_id, i + j AS i FROM win JOIN first USING (k), range(0, 13) t(j) WHERE doc < doc_id),
+  word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others train models, hash with XXH64, fold a heap or merge byte pairs; tests/llm has brute force for them."""
+    return {"op2_url_rules": _URL_SQL, "op3_repeated_windows": _WINDOW_SQL}

@@ -83,10 +83,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str = "items") -> DataFrame:
-    """For each distinct item set of `urls` that a rule fits: the items and the best rule (by confidence, support, id)."""
+    """For each distinct item set of `urls` that a rule fits: the items and the best rule (by confidence, support, items)."""
     sets = urls.select(key).distinct()
     met = sets.select(key, F.explode(key).alias("rarest")).join(rules, "rarest").filter(F.size(F.array_except("antecedent", key)) == 0)
-    best = F.max(F.struct("confidence", "support", "rule_id", "antecedent"))
+    best = F.max(F.struct("confidence", "support", F.array_join("antecedent", " ").alias("text"), "antecedent"))
     return met.groupBy(key).agg(best.alias("best")).select(key, F.col("best.antecedent").alias("mined"), F.col("best.confidence").alias("confidence"))
 
 
