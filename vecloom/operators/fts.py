@@ -5,7 +5,7 @@ A document's length is its number of trigrams; a term's frequency is how often i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
@@ -43,10 +43,4 @@ def candidates(nodes: DataFrame, query: str, limit: int = FTS_CANDIDATES, column
     for t in terms:
         some = some | has(t)
     best = nodes.filter(some).select(F.col("id").alias("node_id"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(limit)
-    return best.withColumn("rank", F.row_number().over(_all_rows()))
-
-
-def _all_rows():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("score"), "node_id")  # over `limit` rows
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "node_id")))  # over `limit` rows

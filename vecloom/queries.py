@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashing
@@ -369,8 +369,6 @@ def fts_candidates(g: Graph) -> DataFrame:
 def knn_with_lazy_nodes(g: Graph) -> DataFrame:
     query = g.embeddings.filter("model_id = 'm1' AND node_id = 42").first().embedding
     found = knn.one(query, knn.space_vectors(g.nodes, g.embeddings, MODEL, "code"), 5)
-    from pyspark.sql import Window
-
     found = found.withColumn("rank", F.row_number().over(Window.orderBy("distance", "node_id")))  # five rows
     lazy = fts.candidates(g.nodes, SEARCH).select("node_id", F.lit(0.5).alias("similarity"), "rank")
     return knn.merge(found, lazy, K)
