@@ -20,16 +20,21 @@ rows; other columns are not read. Added tokens in a text are encoded as their ow
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 LEAF = 4096
 LONG_PRETOKEN = 256
-CACHE = 200_000
+#: Pretokens in each of the two generations of a worker's cache.
+CACHE = 300_000
 REACH = 3
 
 
@@ -85,8 +90,8 @@ def tree_pieces(find: Callable[[str], list[str]], text: str, leaf: int = LEAF) -
     return build(0, len(text))
 
 
-def tree_tokens(encode: Callable[[str], list[int]], length: Callable[[int], int], word: str, leaf: int = LONG_PRETOKEN) -> list[int]:
-    """encode(word) of one pretoken, from leaves; length(id): characters of a token."""
+def tree_tokens(encode: Callable[[bytes], list[int]], length: Callable[[int], int], word: bytes, leaf: int = LONG_PRETOKEN) -> list[int]:
+    """encode(word) of one pretoken, from leaves; length(id): bytes of a token."""
 
     def build(lo: int, hi: int) -> list[int]:
         if hi - lo <= leaf:
@@ -105,6 +110,25 @@ def tree_tokens(encode: Callable[[str], list[int]], length: Callable[[int], int]
     return build(0, len(word))
 
 
+class Cache(dict):
+    """The ids of pretokens as bytes; what was not used while CACHE others came is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= LONG_PRETOKEN:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes as the tokenizer file at `path` says. One for each Python worker."""
 
@@ -119,7 +143,6 @@ class Codec:
         self.leaf, self.long = leaf, long_pretoken
         self.find = regex.compile(PATTERN).findall
         self.alphabet = byte_alphabet()
-        self.to_word = {b: c for b, c in self.alphabet.items()}
         back = {c: b for b, c in self.alphabet.items()}
         added = self.library.get_added_tokens_decoder()
         if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
@@ -127,7 +150,11 @@ class Codec:
         self.added = {t.content: i for i, t in added.items()}
         self.split = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.bytes_of = {i: t.encode() if t in self.added else bytes(back[c] for c in t) for t, i in self.library.get_vocab(with_added_tokens=True).items()}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.merge = self._piece_encoder()
+        self.cache = Cache(self._pretoken)
+        table = [self.bytes_of[i] for i in range(len(self.bytes_of))]
+        self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
+        self.token_start = np.concatenate(([0], np.cumsum([len(t) for t in table])))
         self.agreed: dict[str, bool] = {}
 
     def _agree(self, ch: str) -> bool:
@@ -151,36 +178,49 @@ class Codec:
                     return False
         return True
 
-    def _encode_word(self, word: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(word)]
+    def _piece_encoder(self) -> Callable[[bytes], list[int]]:
+        """Merges of one piece: by rank where the vocabulary numbers merged tokens in the order of its merges, else by the library."""
+        model = json.loads(self.library.to_str())["model"]
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if all(a < b for a, b in zip(merged, merged[1:], strict=False)) and not model.get("ignore_merges"):
+            import tiktoken
 
-    def _pretoken(self, piece: str) -> tuple[int, ...]:
-        word = "".join(map(self.to_word.__getitem__, piece.encode()))
-        if len(word) <= self.long:
-            ids = tuple(self._encode_word(word))
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[piece] = ids
-            return ids
-        return tuple(tree_tokens(self._encode_word, lambda i: len(self.bytes_of[i]), word, self.long))
+            ranks = {self.bytes_of[i]: i for t, i in model["vocab"].items() if t not in self.added}
+            return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        return lambda piece: [t.id for t in self.library.model.tokenize("".join(map(self.alphabet.__getitem__, piece)))]
 
-    def encode(self, text: str | None) -> list[int]:
+    def _pretoken(self, piece: str) -> bytes:
+        word = piece.encode()
+        ids = self.merge(word) if len(word) <= self.long else tree_tokens(self.merge, lambda i: len(self.bytes_of[i]), word, self.long)
+        return array("i", ids).tobytes()
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The ids as 32-bit integers."""
         if not text:
-            return []
+            return b""
         if not self._trusted(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
+            return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        out = []
         for segment in self.split(text) if self.split else (text,):
             if segment in self.added:
-                ids.append(self.added[segment])
+                out.append(array("i", [self.added[segment]]).tobytes())
                 continue
             pieces = self.find(segment) if len(segment) <= self.leaf else tree_pieces(self.find, segment, self.leaf)
-            have = self.cache.get
-            ids.extend(chain.from_iterable([have(p) or self._pretoken(p) for p in pieces]))
-        return ids
+            out.append(b"".join(map(self.cache.__getitem__, pieces)))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens, and where each token's end."""
+        start = self.token_start[ids]
+        size = self.token_start[ids + 1] - start
+        end = np.cumsum(size)
+        return self.token_bytes[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)], end
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_bytes(np.asarray(ids, np.int64))[0].tobytes().decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -198,8 +238,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [c.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
+            for part in slices(batch, text_col):
+                coded = [c.encode_bytes(t) for t in part.column(text_col).to_pylist()]
+                ids = np.frombuffer(b"".join(coded), np.int32)
+                cut = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded])))
+                data, end = c.decode_bytes(ids.astype(np.int64))
+                at = np.concatenate(([0], end))[cut]
+                text = data.tobytes()
+                decoded = [text[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+                yield pa.record_batch([part.column(id_col), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids)), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
