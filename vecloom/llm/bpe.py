@@ -34,7 +34,7 @@ from .common import slices
 LEAF = 4096
 LONG_PRETOKEN = 256
 #: Pretokens in each of the two generations of a worker's cache.
-CACHE = 300_000
+CACHE = 100_000
 REACH = 3
 
 

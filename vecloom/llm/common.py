@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -87,6 +88,14 @@ def power_of_two(x: float, least: int, most: int) -> int:
     return 1 << int(min(most, max(least, np.ceil(np.log2(max(x, 1))))))
 
 
+def trim() -> None:
+    """Gives memory that numpy has freed back to the system, which a worker that lives on would keep."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch where its text reaches `most` bytes."""
     if not batch.num_rows:
@@ -97,6 +106,7 @@ def slices(batch: pa.RecordBatch, col: str = "text", most: int = SLICE_BYTES) ->
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, materialise, slices, text_bytes
+from .common import SLICE_BYTES, materialise, slices, text_bytes, trim
 
 
 def squeeze(data: bytes) -> bytes:
@@ -90,6 +90,7 @@ def opened(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, pa.Array, np
     """(block, ids, bytes, cuts) of each block."""
     for block, ids, cuts, texts in zip(*(batch.column(c) for c in ("block", "ids", "cuts", "texts")), strict=True):
         yield block.as_py(), ids.values, np.frombuffer(swell(texts.as_buffer()), np.uint8), cuts.values.to_numpy()
+    trim()
 
 
 def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:

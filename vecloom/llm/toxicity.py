@@ -6,8 +6,8 @@ the classes apart. Vectors and softmax are trained together with Adagrad. As a m
 its origin, it shares most of its vector too. For scoring, vectors and softmax fold into one number a bucket
 (2**BUCKET_BITS floats, the whole of what is sent to the executors).
 
-The model is fitted on a bounded sample of labelled rows: in order of a hash of the id, up to MAX_TRAIN_ROWS rows with
-MAX_TRAIN_BYTES bytes of text in all. Scoring covers all rows and whole texts.
+The model is fitted on a bounded sample of labelled rows: those of at most MAX_TRAIN_TEXT bytes, in order of a hash of
+the id, up to MAX_TRAIN_ROWS rows with MAX_TRAIN_BYTES bytes in all. Scoring covers all rows and whole texts.
 
 Defined results: null and empty texts, and texts without letters, get the score of the bias alone; rows whose label is
 null are not learnt from; with no labelled rows or one class only, all scores are that class's share (0 where there is
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, mix, slices, spans, text_bytes
+from .common import hash_spans, mix, slices, spans, text_bytes, trim
 
 BUCKET_BITS = 18
 DIM = 8
@@ -34,7 +34,9 @@ PRIOR_WORDS = 16
 #: Weight of a text of class 1 in training.
 WEIGHT = 1.0
 MAX_TRAIN_ROWS = 8000
-MAX_TRAIN_BYTES = 16 << 20
+MAX_TRAIN_BYTES = 12 << 20
+#: Longer texts are scored like any other, but not learnt from.
+MAX_TRAIN_TEXT = 6000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -110,8 +112,10 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = 8, rate: flo
     size, full = np.concatenate(sizes), np.concatenate(fulls)[first]
     cut = np.concatenate(([0], np.cumsum(size)))
     gram_off = np.concatenate(([0], np.cumsum(size[first])))
-    grams = np.concatenate(parts)[np.repeat(cut[first] - gram_off[:-1], size[first]) + np.arange(gram_off[-1])]
-    del parts, names
+    take = np.repeat((cut[first] - gram_off[:-1]).astype(np.int32), size[first])
+    take += np.arange(gram_off[-1], dtype=np.int32)
+    grams = np.concatenate(parts)[take]
+    del parts, names, take
     pair_doc, pair_word, pair_n = np.concatenate(docs), of[np.concatenate(kinds)].astype(np.int32), np.concatenate(counts)
     pair_off = np.searchsorted(pair_doc, np.arange(len(texts) + 1))
     words = np.bincount(pair_doc, pair_n, len(texts))
@@ -156,6 +160,7 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = 8, rate: flo
             vec_sq += (g_vec**2).mean(1, keepdims=True)
             vec -= step * g_vec / np.sqrt(vec_sq)
     zero[often] = SCALE * (vec @ (soft[:, 1] - soft[:, 0]))
+    trim()
     return zero, float(bias[1] - bias[0])
 
 
@@ -178,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAIN_ROWS, most:
     """Texts and labels to fit on; labels: (doc_id, toxic)."""
     spark = docs.sparkSession
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sized = docs.select("doc_id", F.octet_length("text").alias("n")).join(marks, "doc_id").filter("n > 0")
+    sized = docs.select("doc_id", F.octet_length("text").alias("n")).join(marks, "doc_id").filter(F.col("n").between(1, MAX_TRAIN_TEXT))
     chosen = sized.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "n").limit(rows).collect()
     ids, total = {}, 0
     for r in chosen:
