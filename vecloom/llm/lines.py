@@ -272,7 +272,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
         of = some.join(joined, "component", "left").select(F.col("gid").alias("node"), F.coalesce("whole", "component").alias("component"))
     grouped = nodes.join(of, nodes["gid"] == of["node"], "left").filter("n > 1 OR component IS NOT NULL").select("a", "b", "place", F.coalesce("component", "gid").alias("component"))
     grouped = materialise(grouped, "grouped")
-    kept = grouped.groupBy("component").agg(F.min("place").alias("kept"))
+    kept = materialise(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")
     keys = grouped.join(kept, "component").select("a", "b", "kept")
     gone = lines.join(keys, ["a", "b"]).filter(place != F.col("kept")).groupBy("block").agg(F.collect_list("at").alias("gone"))
     count = "n_chars" in names
