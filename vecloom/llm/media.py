@@ -154,6 +154,8 @@ def _coefficients(head: Header, frames: list[bytes], full: bool) -> np.ndarray:
     drop |= restart
     place = np.concatenate(([0], np.cumsum(~drop)))
     data = np.concatenate((raw[~drop], np.zeros(8, np.uint8))).astype(np.int64)
+    n_bits = (len(data) - 8) * 8
+    five = data[:-4] << 32 | data[1:-3] << 24 | data[2:-2] << 16 | data[3:-1] << 8 | data[4:]  # the five bytes from each on
     begins = np.concatenate(([0], np.cumsum([len(s) for s in scans])))
     n_int = -(-mcus // per)
     marks = np.flatnonzero(restart)
@@ -161,7 +163,7 @@ def _coefficients(head: Header, frames: list[bytes], full: bool) -> np.ndarray:
         raise ValueError("a frame's restart marks are broken")
     starts = np.sort(np.concatenate((begins[:-1], marks + 2)))
     bit = place[starts] * 8
-    stop = np.append(place[starts[1:]], len(data) - 8) * 8
+    stop = np.append(place[starts[1:]] * 8, n_bits)
     todo = np.tile(np.append(np.full(n_int - 1, per), mcus - per * (n_int - 1)), len(frames)) * len(pattern)
     blocks = per * len(pattern)
     out = np.zeros((len(starts), blocks, 64 if full else 1), np.int16)
@@ -171,42 +173,47 @@ def _coefficients(head: Header, frames: list[bytes], full: bool) -> np.ndarray:
     k, done = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
     act = np.arange(len(starts))
     low = (np.int64(1) << np.arange(17)) - 1
+    half = (np.int64(1) << np.arange(17)) >> 1
     while len(act):
         p, kk = bit[act], k[act]
         part = pattern[done[act] % len(pattern)] if n_parts > 1 else 0
-        at = p >> 3
-        word = data[at] << 40 | data[at + 1] << 32 | data[at + 2] << 24 | data[at + 3] << 16 | data[at + 4] << 8 | data[at + 5]
-        word = word >> 8 - (p & 7)  # the next 40 bits
+        window = five[np.minimum(p >> 3, len(five) - 1)] >> 8 - (p & 7)  # 32 bits: a code and a value
         is_ac = kk > 0
-        got = tables[((part + n_parts * is_ac) << 16) + (word >> 24 & 0xFFFF)]
+        got = tables[((part + n_parts * is_ac) << 16) + (window >> 16 & 0xFFFF)]
         length, symbol = got >> 8, got & 0xFF
         if not length.all():
             raise ValueError("a frame's data are broken")
-        size = np.where(is_ac, symbol & 15, symbol)
-        value = (word >> 24 - length) & 0xFFFF
-        value = value >> 16 - size
-        value = np.where(value >> np.maximum(size - 1, 0) & 1, value, value - low[size])
-        value[size == 0] = 0
-        bit[act] = p + length + size
-        dc = np.flatnonzero(~is_ac)
-        if len(dc):
+        any_ac = bool(is_ac.any())
+        if any_ac and is_ac.all() and not symbol.any():  # ends of blocks only
+            bit[act] = p + length
+            k[act] = 0
+            done[act] += 1
+        else:
+            size = np.where(is_ac, symbol & 15, symbol) if any_ac else symbol
+            value = window >> 32 - length - size & low[size]
+            value -= low[size] * (value < half[size])
+            bit[act] = p + length + size
+            dc = np.flatnonzero(~is_ac) if any_ac else slice(None)
             rows, which = act[dc], part[dc] if n_parts > 1 else 0
             before[rows, which] += value[dc]
             out[rows, done[rows], 0] = before[rows, which]
-        run = symbol >> 4
-        new = np.where(is_ac, kk + np.where(size > 0, run + 1, np.where(run == 15, 16, 64)), 1)
-        if full:
-            ac = np.flatnonzero(is_ac & (size > 0))
-            to = kk[ac] + run[ac]
-            if len(to) and to.max() > 63:
-                raise ValueError("a frame's data are broken")
-            out[act[ac], done[act[ac]], ZIGZAG[to]] = value[ac]
-        ended = new > 63
-        k[act] = np.where(ended, 0, new)
-        done[act] += ended
-        left = done[act] < todo[act]
+            if any_ac:
+                run = symbol >> 4
+                new = np.where(is_ac, kk + np.where(size > 0, run + 1, np.where(run == 15, 16, 64)), 1)
+                if full:
+                    ac = np.flatnonzero(is_ac & (size > 0))
+                    to = kk[ac] + run[ac]
+                    if len(to) and to.max() > 63:
+                        raise ValueError("a frame's data are broken")
+                    out[act[ac], done[act[ac]], ZIGZAG[to]] = value[ac]
+                ended = new > 63
+                k[act] = np.where(ended, 0, new)
+                done[act] += ended
+            else:
+                k[act] = 1
         if (bit[act] > stop[act]).any():
             raise ValueError("a frame ends too soon")
+        left = done[act] < todo[act]
         if not left.all():
             act = act[left]
     if n_int == 1:
@@ -301,15 +308,17 @@ def flat_frames(samples: np.ndarray) -> list[bytes]:
     end = np.cumsum(size, axis=1)
     n_bytes = -(-end[:, -1] // 8)
     base = np.concatenate(([0], np.cumsum(n_bytes)))
-    at = (base[:-1, None] * 8 + end - size).ravel()
-    word = _BITS[d].ravel() << 8 >> (at & 7)
-    at >>= 3
-    data = np.zeros(base[-1] + 5, np.int64)
-    for j in range(4):
-        data += np.bincount(at + j, word >> 32 - 8 * j & 0xFF, len(data)).astype(np.int64)
+    data = np.zeros(base[-1] + 3, np.uint8)
+    start = base[:-1, None] * 8 + end - size
+    for j in range(SIDE):  # rows begin at whole bytes, so the samples of one column never share one
+        at = start[:, j]
+        word = _BITS[d[:, j]] >> (at & 7)
+        at = at >> 3
+        for k in range(3):
+            data[at + k] |= (word >> 24 - 8 * k & 0xFF).astype(np.uint8)
     data = data[: base[-1]]
     fill = n_bytes * 8 - end[:, -1]
-    data[base[1:] - 1] |= (1 << fill) - 1
+    data[base[1:] - 1] |= ((1 << fill) - 1).astype(np.uint8)
     # a zero after each 255, and a restart mark after each interval but a frame's last
     stuffed = data == 255
     extra = np.ones(len(data), np.int64) + stuffed
