@@ -89,7 +89,8 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    judged = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", (F.col("n_items") > 0).cast("int").alias("contaminated"), "n_items", "item_id", "found", "changed")
 
 
 def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
