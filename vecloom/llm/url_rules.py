@@ -24,6 +24,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_SUPPORT = 0.0005
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
+SALTS = 64
 
 
 def _rest(url: Column) -> Column:
@@ -103,7 +104,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     marks = labels.select(F.col(id_col).alias("id"), "blocked").groupBy("id").agg(F.max("blocked").alias("blocked"))
     mined = mine(p.join(marks, "id").select("items", "blocked"))
     best = match(p.filter("rule IS NULL"), mined)
-    out = p.join(best.withColumnRenamed("items", "have"), (F.col("items") == F.col("have")) & F.col("rule").isNull(), "left")
+    # one item set may be that of a third of all pages, so its verdict goes to SALTS places
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = best.select(F.col("items").alias("have"), "mined", "confidence", salt.alias("salt"))
+    own = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    out = p.join(spread, (F.col("items") == F.col("have")) & (own == F.col("salt")) & F.col("rule").isNull(), "left")
     return out.select(
         F.col("id").alias(id_col),
         "host",
