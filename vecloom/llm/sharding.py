@@ -61,7 +61,7 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         "items",
     )
     items = [tuple(r) for r in placed.groupBy("item").agg(F.sum("bytes"), F.sum("rows")).collect()]  # at most shards * grain + total / least + buckets
-    part_rows = max(100_000, (n_rows or 0) // 10_000)
+    part_rows = max(1000, (n_rows or 0) // 10_000)
     parts = {name: -(-count // part_rows) for name, _, count in items}
     plan = schedule(items, shards)
     at = spark.createDataFrame([(name, s, parts[name]) for name, s, _ in plan], "item string, shard int, parts int")
