@@ -94,6 +94,30 @@ def test_fuzzy_copies_of_long_lines(spark):
     assert out == len(groups) < 26
 
 
+def test_a_line_whose_partner_has_met_another_is_linked(spark):
+    import itertools
+    import random
+
+    # of each family y is near both others, which are over 3 bits apart; torn is in all of y's key groups that x is in, but not similar
+    rng = random.Random(3)
+    vocabulary = ["w%s" % "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    masks = [int(m) for m in L.choices(3)]
+    rows = []
+    while len(rows) < 90:
+        base = [rng.choice(vocabulary) for _ in range(60)]
+        y = " ".join(base)
+        of = simhash(y)
+        near = [(v, simhash(v) ^ of) for v in (" ".join([*base[:k], rng.choice(vocabulary), *base[k + 1 :]]) for k in range(60))]
+        near = [(v, d) for v, d in near if 0 < d.bit_count() <= 3]
+        hit = [(a, x) for (a, s), (x, t) in itertools.permutations(near, 2) if (s ^ t).bit_count() > 3 and all(s & m == 0 for m in masks if t & m == 0)]
+        if hit:
+            torn = " ".join(reversed(hit[0][0].split()))  # the same words have the same SimHash
+            rows += [(len(rows) + k, t) for k, t in enumerate((torn, hit[0][1], y))]
+    _, groups = brute(rows)
+    assert len(groups) == 60
+    assert L.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).filter("text <> ''").count() == 60
+
+
 def test_edit_distance():
     import random
 

@@ -8,8 +8,9 @@ stays, all others go.
 
 The SimHash's 64 bits are cut into pieces. Of two values that differ in RADIUS bits all but RADIUS pieces are equal, so
 joining on each choice of that many misses none. A family of lines is not written out as pairs: first each line meets
-only the first one near it in each join, which connects most families; then those near pairs are verified that lie in
-different components so far. Only candidate lines' texts are fetched, through a bitmap of bounded size.
+only the first one near it in each join (or, where it is in no pair by that, one after it), which connects most
+families; then those near pairs are verified that lie in different components so far. Only candidate lines' texts are
+fetched, through a bitmap of bounded size.
 
 Defined results: null and empty texts have one empty line, which stays; a text may end up empty; lines are cut at \\n
 only; a null id comes last in the order; rows with equal ids are different texts; other columns pass unchanged, but
@@ -140,7 +141,8 @@ def _lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
 def _candidates(nodes: DataFrame, n: int, apart: bool) -> DataFrame:
     """Pairs (x, y) of gid whose sim differ in at most RADIUS bits.
 
-    apart: all those of different `component`. Else, for each y and each join, the one with the first x.
+    apart: all those of different `component`. Else, for each y and each join, the one with the first x, and one pair for
+    each x that is in none by that: so all that are near another are in some pair.
     """
     masks = choices(n)
     groups = power_of_two(n / (1 << GROUP_BITS), 2, 16)
@@ -189,6 +191,18 @@ def _candidates(nodes: DataFrame, n: int, apart: bool) -> DataFrame:
                 ys.append(i[ok])
                 i = i[~ok]
                 step += 1
+            paired = np.zeros(len(key), bool)
+            for v in (*xs, *ys):
+                paired[v] = True
+            stop = np.repeat(last, last - lead)
+            i, step = np.flatnonzero(~paired), 0
+            while len(i):  # those in no pair so far, with the first one after them that is near, which has met another
+                step += 1
+                i = i[i + step < stop[i]]
+                ok = np.bitwise_count(sim[i] ^ sim[i + step]) <= RADIUS
+                xs.append(i[ok])
+                ys.append(i[ok] + step)
+                i = i[~ok]
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
         return pa.table({"x": pa.array(np.minimum(gid[x], gid[y]), pa.int64()), "y": pa.array(np.maximum(gid[x], gid[y]), pa.int64())})
 
