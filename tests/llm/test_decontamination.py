@@ -20,6 +20,16 @@ def test_templates(spark):
     assert all(got[i] == (0, None, None) for i in (3, 4, 5, 6, 7))
 
 
+def test_items_of_slots_mostly(spark):
+    items = [(1, "Convert 5 km to miles"), (2, "Solve 3 x + 5 = 20"), (3, "3 4 5 6 7 8 9"), (4, "Why so"), (5, "12")]
+    docs = [(i, f"{OTHER}. {t}. {OTHER}") for i, t in items] + [(10 + i, t) for i, t in items]
+    docs += [(20, f"{OTHER}. Convert 8 km to miles."), (21, "Convert 8 km of miles"), (22, "3 4 5 6 7 8 9 1"), (23, "1 2 3 4 5 6 7"), (24, "Why so late"), (25, "13")]
+    got = {i: v[1] for i, v in judged(spark, docs, items).items()}
+    assert {i: got[i] for i in (1, 2, 3, 4, 5)} == {1: 1, 2: 2, 3: 3, 4: None, 5: None}
+    assert {i: got[10 + i] for i in (1, 2, 3, 4, 5)} == {i: i for i in (1, 2, 3, 4, 5)}
+    assert {i: got[i] for i in range(20, 26)} == {20: 1, 21: None, 22: 3, 23: None, 24: None, 25: None}
+
+
 def test_against_brute_force_on_test_data(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")

@@ -8,8 +8,10 @@ if it holds at least `share` of the item's windows and its slots are consistent:
 for one value in the text. So a question with other numbers or names is caught, and an unrelated text of like form not.
 
 Defined results: null and empty texts have no windows; an item with fewer than `width` tokens, but at least MIN_ITEM, is
-one window, matched by texts' windows of its own length; shorter and null items match nothing; a window needs
-`literals` literal tokens (all but one where it is shorter); of rows with equal id and text all or none match; empty tables give no
+one window, matched by texts' windows of its own length; a window needs `literals` literal tokens (all but one where it
+is shorter). An item without such a window is matched by its windows with any literal, if a third of its tokens are
+literals and two at least, else by the exact words and numbers of all its windows. An item of fewer than MIN_ITEM tokens
+matches texts of just these tokens; one without tokens matches nothing; of rows with equal id and text all or none match; empty tables give no
 rows or no matches; other columns pass unchanged.
 """
 
@@ -54,6 +56,9 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 NUMBER, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
 
+#: What windows an item is matched by: with enough literals, with any literal, by exact values, whole texts by exact values.
+USUAL, SPARSE, EXACT, WHOLE = range(4)
+
 
 def _hashes(listed: list[str]) -> np.ndarray:
     data, off = text_bytes(pa.array(listed))
@@ -99,14 +104,32 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return code[lead], value, row[lead]
 
 
-def _windows(code: np.ndarray, row: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """First tokens and hashes of the windows of `width` tokens with enough literals."""
+def _windows(code: np.ndarray, value: np.ndarray, row: np.ndarray, width: int, literals: int, way: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and hashes of the windows of `width` tokens that count this way."""
     n = len(code) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least = {USUAL: literals, SPARSE: 1}.get(way, 0)
     literal = np.concatenate(([0], np.cumsum(code > NAME)))
-    at = np.flatnonzero((row[:n] == row[width - 1 :]) & (literal[width:] - literal[:n] >= literals))
-    return at, hash_runs(code, at, at + width)
+    ok = (row[:n] == row[width - 1 :]) & (literal[width:] - literal[:n] >= least)
+    if way == WHOLE:
+        ok[1:] &= row[1:n] != row[: n - 1]
+        ok[:-1] &= row[: n - 1] != row[width:]
+    at = np.flatnonzero(ok)
+    return at, hash_runs(value if way >= EXACT else code, at, at + width)
+
+
+def _ways(code: np.ndarray, row: np.ndarray, size: np.ndarray, width: int, literals: int) -> np.ndarray:
+    """The way of each item, which has `size` tokens."""
+    n = np.bincount(row, (code > NAME).astype(np.int64), len(size))
+    way = np.where((n >= 2) & (3 * n >= size), SPARSE, EXACT)
+    for k in range(MIN_ITEM, width + 1):
+        mine = size >= width if k == width else size == k
+        sub = np.flatnonzero(mine[row])
+        at, _ = _windows(code[sub], code[sub], row[sub], k, literals if k == width else min(literals, k - 1), USUAL)
+        way[row[sub][at]] = USUAL
+    way[size < MIN_ITEM] = WHOLE
+    return way
 
 
 def _slots(code: np.ndarray, value: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
@@ -117,11 +140,11 @@ def _slots(code: np.ndarray, value: np.ndarray, at: np.ndarray, width: int) -> p
     return pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(value[where[slot]].view(np.int64)))
 
 
-_FOUND = "w long, width int, place long, slots array<long>"
+_FOUND = "w long, way int, width int, place long, slots array<long>"
 
 
 def _item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
-    """item, w (window hash), width, place, slots, total (windows of the item)."""
+    """item, w (window hash), way, width, place, slots, total (windows of the item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,20 +152,29 @@ def _item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
                 code, value, row = template(*text_bytes(part.column("text")))
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 size = np.diff(first)
-                for k in range(MIN_ITEM, width + 1):
-                    mine = size >= width if k == width else size == k
+                way = _ways(code, row, size, width, literals)
+                for k, m in [(k, m) for k in range(1, width + 1) for m in (USUAL, SPARSE, EXACT, WHOLE)]:
+                    mine = (size >= width if k == width else size == k) & (way == m)
                     use = mine[row]
                     sub = np.flatnonzero(use)
                     if not len(sub):
                         continue
-                    at, w = _windows(code[sub], row[sub], k, literals if k == width else min(literals, k - 1))
+                    at, w = _windows(code[sub], value[sub], row[sub], k, literals if k == width else min(literals, k - 1), m)
                     if not len(at):
                         continue
                     own = row[sub][at]
                     total = np.bincount(own, minlength=part.num_rows)
                     yield pa.record_batch(
-                        [part.column("item_id").take(pa.array(own)), pa.array(w.view(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array(sub[at] - first[own]), _slots(code[sub], value[sub], at, k), pa.array(total[own], pa.int64())],
-                        names=["item_id", "w", "width", "place", "slots", "total"],
+                        [
+                            part.column("item_id").take(pa.array(own)),
+                            pa.array(w.view(np.int64)),
+                            pa.array(np.full(len(at), m, np.int32)),
+                            pa.array(np.full(len(at), k, np.int32)),
+                            pa.array(sub[at] - first[own]),
+                            _slots(code[sub], value[sub], at, k),
+                            pa.array(total[own], pa.int64()),
+                        ],
+                        names=["item_id", "w", "way", "width", "place", "slots", "total"],
                     )
 
     kind = items.schema["item_id"].dataType.simpleString()
@@ -155,7 +187,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
     n = known.count()
     bits = int(np.log2(power_of_two(64 * n, 16, BITMAP_BITS)))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(known.select(F.col("w").alias("a")), bits))
-    widths = [r.width for r in known.select("width").distinct().collect()]  # at most width - MIN_ITEM + 1 values
+    kinds = [(r.way, r.width) for r in known.select("way", "width").distinct().collect()]  # at most 4 x width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - bits)
@@ -163,19 +195,19 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
             for part in slices(batch):
                 code, value, row = template(*text_bytes(part.column("text")))
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                for k in widths:
-                    at, w = _windows(code, row, k, literals if k == width else min(literals, k - 1))
+                for m, k in kinds:
+                    at, w = _windows(code, value, row, k, literals if k == width else min(literals, k - 1), m)
                     hit = set_in(shared.value, w >> shift)
                     at, w = at[hit], w[hit]
                     if len(at):
                         yield pa.record_batch(
-                            [part.column("row").take(pa.array(row[at])), pa.array(w.view(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array(at - first[row[at]]), _slots(code, value, at, k)],
-                            names=["row", "w", "width", "place", "slots"],
+                            [part.column("row").take(pa.array(row[at])), pa.array(w.view(np.int64)), pa.array(np.full(len(at), m, np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(at - first[row[at]]), _slots(code, value, at, k)],
+                            names=["row", "w", "way", "width", "place", "slots"],
                         )
 
     hits = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, f"row long, {_FOUND}")
-    k = known.select("item_id", "w", "width", "total", F.col("place").alias("at"), F.col("slots").alias("mine"))
-    met = hits.join(k, ["w", "width"]).withColumn("pairs", F.arrays_zip("mine", "slots"))
+    k = known.select("item_id", "w", "way", "width", "total", F.col("place").alias("at"), F.col("slots").alias("mine"))
+    met = hits.join(k, ["w", "way", "width"]).withColumn("pairs", F.arrays_zip("mine", "slots"))
     aligned = met.groupBy("row", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
         F.countDistinct("at").alias("n"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
