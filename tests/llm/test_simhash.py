@@ -68,6 +68,33 @@ def test_links_connect_all_that_are_near(spark):
     assert {v: find(v) for v in values} == groups(values)
 
 
+def test_a_dense_group_is_not_written_out(spark):
+    import random
+
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    values = {base} | {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(2000)} | {rng.getrandbits(64) for _ in range(3000)}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    pairs = S.links(df).cache()
+    assert pairs.count() < 200 * len(values)  # of 2,081 variants each
+    dense = {v for v in values if (v ^ base).bit_count() <= 3}
+    of = S.components(pairs).collect()
+    assert len({r.component for r in of if r.node & (1 << 64) - 1 in dense}) == 1 and {r.node & (1 << 64) - 1 for r in of} >= dense
+
+
+def test_collisions_of_several_variants_are_gone_through_again(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    bases = [rng.getrandbits(64) for _ in range(300)]
+    values = sorted({b ^ sum(1 << k for k in rng.sample(range(64), 4 * j)) for b in bases for j in (0, 1)})
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    monkeypatch.setattr(S, "SPARE_BITS", 0)  # each variant collides with another or two
+    of = {r.node & (1 << 64) - 1: r.component for r in S.components(S.links(df)).collect()}
+    want = groups(values)
+    assert len(set(of.values())) == len({want[v] for v in of}) and set(of) == {v for v in values if list(want.values()).count(want[v]) > 1}
+
+
 def test_keep_one(odd):
     df, rows = odd
     wide = df.selectExpr("doc_id", "text", "'a' AS fp", "1 AS row")

@@ -80,6 +80,20 @@ def _sweep() -> None:
             return
 
 
+def join_hot(rows: DataFrame, one: DataFrame, on: list[str], n: str, most: int = 1 << 15) -> DataFrame:
+    """rows joined with `one`, which has each key once and in column `n` how many rows have it.
+
+    The keys of more than the `most`-th part of the rows, at most `most` of them, are broadcast; so no task gets more
+    rows of one key than that part (or 1,000).
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(1000, total // most)
+    few = F.broadcast(one.filter(hot))
+    if one.filter(hot).isEmpty():
+        return rows.join(one, on)
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(one.filter(~hot), on))
+
+
 def total_bytes(docs: DataFrame, col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(col))).first()[0] or 0
 

@@ -6,9 +6,9 @@ the radius; two that differ in at most `radius` bits have a variant in common. S
 
 What is shuffled is not the 64-bit variant but `log2(variants) + 7` bits of its hash, sorted, as differences, with the
 place of the fingerprint in its chunk: about 3.5 bytes a variant. Few unequal variants fall together so; what does is
-checked against the fingerprints. Where two collide, the pair is verified; where more collide, the true variant is
-worked out again and each is linked to the least fingerprint that has it, since all that share a variant are within the
-radius. So no group is written out as pairs.
+checked against the fingerprints. All that collide are paired with the first of them, each such pair once, and verified:
+as all that truly share a variant are within the radius, a dense group makes no more pairs than it has variants. Where
+a pair out of more than two that collide fails, these few are gone through again with their true variants.
 
 Defined results: null is the empty text; a text without words has fingerprint zero and links like any other; copies and
 repeated rows share fingerprint and component; an empty table gives no rows; other columns are not read.
@@ -25,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import majority, materialise, mix, power_of_two, slices, text_bytes, words
+from .common import join_hot, majority, materialise, mix, power_of_two, slices, text_bytes, words
 from .components import components
-from .packing import pack, unpack, without
+from .packing import bitmap, pack, set_in, unpack, without
 
 SHINGLE = 4
 RADIUS = 4
@@ -36,6 +36,10 @@ SEED = 42
 CHUNK_BITS = 11
 #: Variants of a reduce group, about.
 GROUP = 1 << 20
+#: Bits of a variant's hash beyond the logarithm of their number.
+SPARE_BITS = 7
+#: Bits, as a power of two, of the bitmap of collisions that are gone through again.
+TORN_BITS = 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -126,7 +130,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     chunks = materialise(distinct.select("fp").mapInArrow(_chunked, "chunk long, fps array<long>"), "chunks")
     n_chunks, n = chunks.agg(F.count(F.lit(1)), F.sum(F.size("fps"))).first()
     variants = (n or 0) * len(ball)
-    bits = int(np.clip(np.ceil(np.log2(max(2, variants))) + 7, 24, 64 - CHUNK_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(2, variants))) + SPARE_BITS, 20, 64 - CHUNK_BITS))
     groups = power_of_two(variants / GROUP, 3, 20)
     low = bits - int(np.log2(groups)) + CHUNK_BITS
 
@@ -155,52 +159,53 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         h = key >> np.uint64(CHUNK_BITS)
         order = np.argsort(h, kind="stable")
         h = h[order]
-        same = np.flatnonzero(h[1:] == h[:-1])
-        run = np.concatenate((order[same], order[same + 1])), np.concatenate((same, same + 1))
-        place, at = np.unique(run[1], return_index=True)
-        index = run[0][at]
-        hs = h[place]
-        src = (key[index] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)
+        twin = np.zeros(len(h), bool)
+        twin[1:] = h[1:] == h[:-1]
+        twin[:-1] |= twin[1:]
+        index, h = order[twin], h[twin]
         # a fingerprint is known by its chunk and its place there
-        cs = chunk[own[index]]
-        lead = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1]))) if len(hs) else np.zeros(0, np.int64)
-        size = np.diff(np.append(lead, len(hs)))
-        two = lead[size == 2]
-        pair = np.stack([cs[two], src[two], cs[two + 1], src[two + 1]], 1) if len(two) else np.zeros((0, 4), np.int64)
-        swap = (pair[:, 0] > pair[:, 2]) | ((pair[:, 0] == pair[:, 2]) & (pair[:, 1] > pair[:, 3]))
-        pair[swap] = pair[swap][:, [2, 3, 0, 1]]
-        pair = np.unique(pair, axis=0)
-        many = np.repeat(size > 2, size)
-        k = int(many.sum())
-        return pa.table(
-            {
-                "h": pa.array(np.concatenate((np.full(len(pair), -1), hs[many].astype(np.int64)))),
-                "c1": pa.array(np.concatenate((pair[:, 0], cs[many]))),
-                "s1": pa.array(np.concatenate((pair[:, 1], src[many])).astype(np.int32)),
-                "c2": pa.array(np.concatenate((pair[:, 2], np.full(k, -1)))),
-                "s2": pa.array(np.concatenate((pair[:, 3], np.full(k, -1))).astype(np.int32)),
-            }
-        )
+        c, s = chunk[own[index]], (key[index] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)
+        by = np.lexsort((s, c, h))
+        c, s, h = c[by], s[by], h[by]
+        lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.append(lead, len(h)))
+        first = np.repeat(lead, size)
+        other = np.arange(len(h)) > first
+        star = np.stack([c[first], s[first], c, s, np.repeat(size > 2, size)], 1)[other]
+        star = np.unique(star, axis=0) if len(star) else star
+        return pa.table({"c1": star[:, 0], "s1": star[:, 1].astype(np.int32), "c2": star[:, 2], "s2": star[:, 3].astype(np.int32), "many": star[:, 4] > 0})
+
+    def clash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(*(batch.column(x).to_numpy().view(np.uint64) for x in "ab"), strict=True):
+                both = np.intersect1d(*(mix(v ^ ball) >> np.uint64(64 - bits) for v in (a, b)))
+                yield pa.record_batch([pa.array((both << np.uint64(64 - bits)).view(np.int64))], names=["a"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                fp = part.column("fp").to_numpy().view(np.uint64)
-                v = fp[:, None] ^ ball
-                r, c = np.nonzero(mix(v.ravel()).reshape(v.shape) >> np.uint64(64 - bits) == part.column("h").to_numpy().astype(np.uint64)[:, None])
-                yield pa.record_batch([pa.array(v[r, c].view(np.int64)), pa.array(fp[r].view(np.int64))], names=["v", "fp"])
+            for fps in batch.column("fps"):
+                fp = fps.values.to_numpy().view(np.uint64)
+                v = (fp[:, None] ^ ball).ravel()
+                h = mix(v) >> np.uint64(64 - bits) << np.uint64(64 - bits)
+                hit = np.flatnonzero(set_in(torn.value, h >> np.uint64(64 - TORN_BITS)))
+                yield pa.record_batch([pa.array(x.view(np.int64)) for x in (h[hit], v[hit], fp[hit // len(ball)])], names=["a", "v", "fp"])
 
     spread_out = chunks.repartition(max(1, min(n_chunks or 1, 100_000))).mapInArrow(spread, "g int, chunk long, keys binary")
-    met = materialise(spread_out.groupBy("g").applyInArrow(meet, "h long, c1 long, s1 int, c2 long, s2 int"), "met")
+    met = materialise(spread_out.groupBy("g").applyInArrow(meet, "c1 long, s1 int, c2 long, s2 int, many boolean"), "met")
     by_place = chunks.select("chunk", F.posexplode("fps").alias("src", "fp"))
     one = by_place.select(F.col("chunk").alias("c1"), F.col("src").alias("s1"), F.col("fp").alias("a"))
     two = by_place.select(F.col("chunk").alias("c2"), F.col("src").alias("s2"), F.col("fp").alias("b"))
-    pairs = met.filter("h = -1").select("c1", "s1", "c2", "s2").distinct().join(one, ["c1", "s1"]).join(two, ["c2", "s2"]).select("a", "b")
-    shared = met.filter("h <> -1").join(one, ["c1", "s1"]).select("h", F.col("a").alias("fp")).mapInArrow(again, "v long, fp long")
-    star = shared.groupBy("v").agg(F.min("fp").alias("b"))
-    stars = shared.join(star, "v").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(stars).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).filter("a <> b").distinct()
+    pairs = met.groupBy("c1", "s1", "c2", "s2").agg(F.max("many").alias("many")).join(one, ["c1", "s1"]).join(two, ["c2", "s2"])
+    pairs = materialise(pairs.select("a", "b", "many", (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).alias("near")), "pairs")
+    near = pairs.filter("near AND a <> b").select("a", "b")
+    runs = materialise(pairs.filter("many AND NOT near").select("a", "b").mapInArrow(clash, "a long").distinct(), "runs")
+    if runs.isEmpty():
+        return near
+    torn = distinct.sparkSession.sparkContext.broadcast(bitmap(runs, TORN_BITS))
+    shared = materialise(chunks.select("fps").mapInArrow(again, "a long, v long, fp long").join(runs, "a", "left_semi").select("v", "fp"), "shared")
+    star = shared.groupBy("v").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stars = shared.join(star.drop("n"), "v").select(F.col("fp").alias("a"), "b").filter("a <> b")
+    return near.unionByName(stars).distinct()
 
 
 def _grouped(fps: DataFrame, radius: int) -> DataFrame:
@@ -213,9 +218,11 @@ def _grouped(fps: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable over links, the own included) of every row."""
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
-    of = _grouped(fps, radius)
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(of.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    of = materialise(firsts.join(_grouped(fps, radius), "fp"), "of")
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    named = materialise(join_hot(of, least, ["component"], "fps").select("fp", "n", "component_id"), "named")
+    return join_hot(fps, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
