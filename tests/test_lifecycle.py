@@ -147,61 +147,50 @@ def test_lines_of_json(spark, tmp_path):
     assert jsonl.string_field('{"k":"\\u00e9\\ud83d\\ude00"}', "k") == "é😀" and jsonl.string_field("{}", "k") is None and jsonl.string_field("[", "k") is None
 
 
-def fake(engine, preference, families, outcome):
-    def build(folder, d):
-        if outcome == "fails":
-            raise ValueError(f"{engine} broke")
-        return None if outcome == "declined" else engine
-
-    return E.Factory(engine, preference, build, families)
-
-
-FAMILIES = ("bert", "minilm")
-
-
-def engines(accelerated=None, tract="built", cpu=None):
-    out = [fake("ort-accelerated", 100, None, accelerated)] if accelerated else []
-    out += [fake("tract", 50, FAMILIES, tract)] if tract else []
-    return out + ([fake("ort-cpu", 10, None, cpu)] if cpu else [])
+def engine(name, rank, does, families=None):
+    """An engine that gives its own name, declines (None) or raises."""
 
-
-@pytest.mark.parametrize(
-    "family, macos, on_macos, have, want",
-    [
-        ("bert", "auto", False, engines(), "tract"),
-        ("bert", "auto", False, engines("built", cpu="built"), "ort-accelerated"),
-        ("bert", "auto", False, engines("declined", cpu="built"), "tract"),
-        ("modernbert", "auto", False, engines("built", cpu="built"), "ort-accelerated"),
-        ("modernbert", "auto", False, engines(cpu="built"), "ort-cpu"),
-        ("modernbert", "auto", False, engines(), None),
-        ("bert", "auto", False, engines("fails"), "tract"),
-        ("bert", "auto", False, engines("fails", "fails", "fails"), None),
-        ("bert", "auto", True, engines("built", cpu="built"), "tract"),
-        ("modernbert", "auto", True, engines("built", cpu="built"), "ort-accelerated"),
-        ("bert", "ort", True, engines("built", cpu="built"), "ort-accelerated"),
-        ("bert", "tract", True, engines("built", cpu="built"), "tract"),
-        ("modernbert", "tract", True, engines("built", cpu="built"), None),
-    ],
-)
-def test_resolver(family, macos, on_macos, have, want):
-    d = descriptor.Descriptor(8, "cls", 2, family=family, macos_engine=macos)
-    if want is None:
-        with pytest.raises(RuntimeError, match=family):
-            E.resolve(have, None, d, on_macos)
-    else:
-        assert E.resolve(have, None, d, on_macos) == want
-
-
-def test_engine_setting_and_capabilities():
-    have = engines("built", cpu="built")
-    assert [f.engine for f in E.restricted(have, " TRACT ")] == ["tract"]
-    assert E.restricted(have, "auto") == have == E.restricted(have, None)
-    with pytest.warns(UserWarning):
-        assert E.restricted(have, "gpu") == have
+    def build(folder, d):
+        if isinstance(does, Exception):
+            raise does
+        return does and name
+
+    return E.Factory(name, rank, build, families)
+
+
+def test_the_best_engine_that_works_is_taken():
+    d = descriptor.Descriptor(8, "cls", 2, family="f")
+    broken, fine = OSError("no driver"), True
+    fast, own, slow = (lambda x, n=n, r=r, fam=fam: engine(n, r, x, fam) for n, r, fam in (("fast", 100, None), ("own", 50, ("f", "g")), ("slow", 10, None)))
+    other = descriptor.Descriptor(8, "cls", 2, family="h")
+    assert E.resolve([slow(fine), own(fine), fast(fine)], None, d) == "fast"
+    assert E.resolve([slow(fine), own(fine), fast(None)], None, d) == "own"
+    assert E.resolve([slow(fine), own(fine), fast(broken)], None, other) == "slow"
+    with pytest.raises(RuntimeError, match="'f'.*no driver.*declined"):
+        E.resolve([fast(broken), own(None)], None, d)
+    with pytest.raises(RuntimeError, match="other families"):
+        E.resolve([own(fine)], None, other)
+    with pytest.raises(RuntimeError, match="no engine is left"):
+        E.resolve([], None, d)
+
+
+def test_choices_of_engines():
+    have = [engine("ort", 100, True), engine("tract", 50, True, ("bert",)), engine("cpu", 10, True)]
+    took = {}
+    for word, (only, ranks) in descriptor.PLATFORM_RULES.items():
+        for family in ("bert", "other"):
+            d = descriptor.Descriptor(8, "cls", 2, family=family, macos_engine=word)
+            try:
+                took[word, family] = E.resolve(have, None, d, E.Choice(only, tuple(ranks.items())))
+            except RuntimeError:
+                took[word, family] = None
+    assert took == {("auto", "bert"): "tract", ("auto", "other"): "ort", ("tract", "bert"): "tract", ("tract", "other"): None, ("ort", "bert"): "ort", ("ort", "other"): "ort"}
+    assert E.chosen(" CPU ", have) == E.Choice("cpu") and E.chosen("auto", have) == E.chosen("", have) == E.chosen(None, have) == E.Choice()
+    with pytest.warns(UserWarning, match="gpu"):
+        assert E.chosen("gpu", have) == E.Choice()
     c = E.capabilities(have)
-    assert c["engines"] == ["ort-accelerated", "tract", "ort-cpu"] and c["families"] == list(FAMILIES)
-    assert c["universal_onnx"] and c["accelerated_compiled"] and c["capabilities_version"] == 1
-    assert not E.capabilities(E.restricted(have, "tract"))["universal_onnx"]
+    assert c["engines"] == ["ort", "tract", "cpu"] and c["families"] == ["bert"] and c["universal_onnx"] and c["accelerated_compiled"] and c["capabilities_version"] == 1
+    assert not E.capabilities(have[1:2])["universal_onnx"]
 
 
 def test_model_pipeline():

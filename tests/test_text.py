@@ -74,3 +74,18 @@ def test_packing_round_trip(values, rest):
 
 def test_md5_is_a_hash_function(spark):
     assert spark.range(1).select(hashing.md5(F.lit("a")).alias("h")).first().h == hashlib.md5(b"a").hexdigest()
+
+
+def test_hashes_of_many_at_once():
+    import random
+
+    import numpy as np
+
+    from vecloom.functions import hashing as H
+
+    rng = random.Random(1)
+    texts = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 5, 60, 300]))) for _ in range(200)]
+    cut = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    high, low = H.fnv1a_128_all(np.frombuffer(b"".join(texts), np.uint8), cut[:-1], cut[1:])
+    assert [f"{h:016x}{x:016x}" for h, x in zip(high.tolist(), low.tolist())] == [H.fnv1a_128(t) for t in texts]
+    assert H.fnv1a_128(b"") == "6c62272e07bb014262b821756295c58d"

@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import FLUSH_ROWS, FLUSH_SECONDS, MAX_BATCH, MAX_SEQ, MIN_TOKEN_BUDGET, PENDING_CHUNK_ROWS, TOKEN_BUDGET, TOTAL_TOKEN_BUDGET
+from .numbering import numbered
 
 
 def shape_batches(items: DataFrame) -> DataFrame:
     """Adds seq (padded length), cap (its rows) and batch (number within seq), shortest first, to rows with id and est_tokens.
 
-    Batches of one shape are counted off, so numbering within a shape gives them without a fold.
+    Batches of one shape are counted off, so a row's place within its shape gives its batch without a fold.
     """
     shaped = items.withColumn("seq", T.padded_seq(F.col("est_tokens")))
-    place = F.row_number().over(Window.partitionBy("seq").orderBy("est_tokens", "id"))
-    return shaped.withColumn("cap", T.rows_of_seq(F.col("seq"))).withColumn("batch", F.floor((place - 1) / F.col("cap")).cast("long"))
+    placed = numbered(shaped, ["seq", "est_tokens"], [F.asc("est_tokens")], within=["seq"])
+    cap = T.rows_of_seq(F.col("seq"))
+    return placed.select(*items.columns, "seq", cap.alias("cap"), F.floor(F.col("place") / cap).cast("long").alias("batch"))
 
 
 def budget_ranges(lengths: Sequence[int], budget: int, most: int = MAX_BATCH) -> list[int]:

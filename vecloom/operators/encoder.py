@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Protocol
@@ -137,54 +137,51 @@ def _onnx(folder: Path | None, d: Descriptor) -> Encoder | None:
 
 #: The engines of this package: a universal one, and the hash encoder for the family of tests.
 ENGINES = (Factory("hash", PREF_PREFERRED_CPU, lambda folder, d: HashEncoder(d), ("hash",)), Factory("onnx-cpu", PREF_UNIVERSAL_CPU, _onnx))
-#: The engine that a setting can force.
-FORCED = "tract"
 
 
-def restricted(engines: list[Factory], setting: str | None, forced: str = FORCED) -> list[Factory]:
-    """`forced` keeps that engine only; auto, empty or none changes nothing; anything else warns and changes nothing."""
-    word = (setting or "").strip().lower()
-    if word == forced:
-        return [f for f in engines if f.engine == forced]
-    if word not in ("", "auto"):
-        warnings.warn(f"unknown engine setting {setting!r}", stacklevel=2)
-    return list(engines)
-
-
-def registry(setting: str | None = None) -> list[Factory]:
-    return restricted(list(ENGINES), setting if setting is not None else os.environ.get("VECLOOM_ENGINE"))
-
-
-def prefers_forced(macos_engine: str, on_macos: bool) -> bool:
-    return on_macos and macos_engine != "ort"
-
-
-def forced_only(macos_engine: str, on_macos: bool) -> bool:
-    return on_macos and macos_engine == FORCED
-
-
-def resolve(engines: list[Factory], folder: Path | None, d: Descriptor, on_macos: bool = False) -> Encoder:
-    """The first encoder built, of the engines that can run the family, by falling preference."""
-    if forced_only(d.macos_engine, on_macos):
-        engines = [f for f in engines if f.engine == FORCED]
-    able = [f for f in engines if f.can_run(d.family)]
-    if not able:
-        raise RuntimeError(f"no engine can run the model family {d.family!r} (engines: {', '.join(f.engine for f in engines)})")
-    lifted = prefers_forced(d.macos_engine, on_macos)
-    failures = []
-    for f in sorted(able, key=lambda f: -(PREF_ACCELERATED + 1 if lifted and f.engine == FORCED else f.preference)):
+@dataclass(frozen=True)
+class Choice:
+    """What a deployment wishes: one engine only, or other ranks than the engines' own preferences."""
+
+    only: str | None = None
+    ranks: tuple[tuple[str, int], ...] = ()
+
+    def table(self, engines: Iterable[Factory]) -> list[tuple[int, Factory]]:
+        """The engines left, best first, equal ranks in the order given."""
+        ranks = dict(self.ranks)
+        left = [(ranks.get(f.engine, f.preference), f) for f in engines if self.only in (None, f.engine)]
+        return sorted(left, key=lambda row: row[0], reverse=True)
+
+
+def chosen(setting: str | None, engines: Iterable[Factory] = ENGINES) -> Choice:
+    """The name of an engine asks for that one only; nothing or `auto` leaves all, and so does, with a warning, any other word."""
+    word = (setting or "auto").strip().lower() or "auto"
+    if word in {f.engine for f in engines}:
+        return Choice(only=word)
+    if word != "auto":
+        warnings.warn(f"there is no engine {setting!r}; all are considered", stacklevel=2)
+    return Choice()
+
+
+def resolve(engines: Iterable[Factory], folder: Path | None, d: Descriptor, choice: Choice | None = None) -> Encoder:
+    """The best-ranked engine's encoder, of those that can run the family and don't decline or fail."""
+    engines, met = list(engines), {}
+    for _, f in (choice or Choice()).table(engines):
+        if not f.can_run(d.family):
+            met[f.engine] = "other families only"
+            continue
         try:
             built = f.build(folder, d)
-        except Exception as e:
-            failures.append(f"{f.engine}: {e}")
+        except Exception as e:  # the next engine may do; if none does, all reasons are told
+            met[f.engine] = repr(e)
             continue
         if built is not None:
             return built
-    raise RuntimeError(f"no engine could run the model family {d.family!r}" + (f"; failures: {'; '.join(failures)}" if failures else ""))
+        met[f.engine] = "declined"
+    raise RuntimeError(f"nothing to encode {d.family!r} with: " + (", ".join(f"{k} ({v})" for k, v in met.items()) or "no engine is left"))
 
 
-def capabilities(engines: list[Factory] | None = None) -> dict:
-    engines = registry() if engines is None else engines
+def capabilities(engines: Sequence[Factory] = ENGINES) -> dict:
     return {
         "plugin_version": VERSION,
         "capabilities_version": 1,
@@ -206,7 +203,7 @@ def worker_encoder(folder: str | None, d: Descriptor) -> Encoder:
     """One encoder for each Python worker."""
     key = (folder, d)
     if key not in _built:
-        _built[key] = resolve(registry(), Path(folder) if folder else None, d)
+        _built[key] = resolve(ENGINES, Path(folder) if folder else None, d, chosen(os.environ.get("VECLOOM_ENGINE")))
     return _built[key]
 
 

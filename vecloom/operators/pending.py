@@ -53,3 +53,4 @@ def serial_order() -> list[Column]:
 
 def parallel_order() -> list[Column]:
     return [F.desc("shell_number"), F.asc("id")]
+

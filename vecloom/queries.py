@@ -15,6 +15,7 @@ from .functions import predicates as P
 from .functions import text as T
 from .functions import vectors as V
 from .operators import batching, encoder, freshness, fts, knn, pending, upserts
+from .operators.numbering import numbered
 from .schema import DOC_KIND, EMBEDDINGS, STRUCTURAL_KINDS, migrate
 from .sources.descriptor import Descriptor
 from .sources.graph import WITH, Graph, derived
@@ -68,14 +69,16 @@ def pending_nodes(g: Graph) -> DataFrame:
     return pending.pending(g.nodes, g.edges, g.embeddings, MODEL).select("id", F.md5("text").alias("text_md5"), "est_tokens", "not_test", "shell_number")
 
 
-@query(f"{PENDING} SELECT id, text, not_test, shell_number FROM pending ORDER BY not_test DESC, shell_number DESC NULLS LAST, id LIMIT 100")
+@query(f"{PENDING} SELECT id, md5(text) AS text_md5, not_test, shell_number, row_number() OVER (ORDER BY not_test DESC, shell_number DESC NULLS LAST, id) - 1 AS place FROM pending")
 def pending_serial_order(g: Graph) -> DataFrame:
-    return pending.pending(g.nodes, g.edges, g.embeddings, MODEL).orderBy(*pending.serial_order()).limit(100).select("id", "text", "not_test", "shell_number")
+    rows = pending.pending(g.nodes, g.edges, g.embeddings, MODEL).select("id", F.md5("text").alias("text_md5"), "not_test", "shell_number")
+    return numbered(rows, ["not_test", "shell_number"], pending.serial_order()[:-1])
 
 
-@query(f"{PENDING} SELECT id, text, shell_number FROM pending ORDER BY shell_number DESC NULLS LAST, id LIMIT 100")
+@query(f"{PENDING} SELECT id, md5(text) AS text_md5, shell_number, row_number() OVER (ORDER BY shell_number DESC NULLS LAST, id) - 1 AS place FROM pending")
 def pending_parallel_order(g: Graph) -> DataFrame:
-    return pending.pending(g.nodes, g.edges, g.embeddings, MODEL).orderBy(*pending.parallel_order()).limit(100).select("id", "text", "shell_number")
+    rows = pending.pending(g.nodes, g.edges, g.embeddings, MODEL).select("id", F.md5("text").alias("text_md5"), "shell_number")
+    return numbered(rows, ["shell_number"], pending.parallel_order()[:-1])
 
 
 @query(
@@ -397,10 +400,11 @@ def match_expressions(g: Graph) -> DataFrame:
     return g.nodes.select("id", T.match_expression(T.search_terms(F.col("signature"))).alias("expression"))
 
 
-@query("SELECT 'node_embeddings' AS name, 4 AS columns, true AS has_text_hash")
+@query("SELECT 'node_embeddings' AS name, count(*) AS columns, bool_or(column_name = 'text_hash') AS has_text_hash FROM (DESCRIBE SELECT * FROM node_embeddings)")
 def schema_check(g: Graph) -> DataFrame:
-    c = g.embeddings.columns
-    return g.embeddings.sparkSession.createDataFrame([("node_embeddings", len(c), "text_hash" in c)], "name string, columns int, has_text_hash boolean")
+    g.embeddings.createOrReplaceTempView("node_embeddings")
+    found = g.embeddings.sparkSession.sql("DESCRIBE TABLE node_embeddings")
+    return found.agg(F.lit("node_embeddings").alias("name"), F.count(F.lit(1)).alias("columns"), F.bool_or(F.col("col_name") == "text_hash").alias("has_text_hash"))
 
 
 @query()

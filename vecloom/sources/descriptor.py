@@ -7,6 +7,14 @@ from dataclasses import dataclass
 from pathlib import Path
 
 
+#: The words of `macos_engine`, and what each asks for on that platform: (the only engine, ranks of engines).
+PLATFORM_RULES: dict[str, tuple[str | None, dict[str, int]]] = {
+    "auto": (None, {"tract": 101}),
+    "tract": ("tract", {}),
+    "ort": (None, {}),
+}
+
+
 @dataclass(frozen=True)
 class Descriptor:
     dim: int
@@ -28,7 +36,7 @@ class Descriptor:
             raise ValueError("truncate_dim has to be between 0 and dim")
         if not self.family.strip():
             raise ValueError("family has to be named")
-        if self.macos_engine not in ("auto", "tract", "ort"):
+        if self.macos_engine not in PLATFORM_RULES:
             raise ValueError(f"unknown macos_engine {self.macos_engine!r}")
 
     @property
