@@ -45,9 +45,20 @@ def test_listed_rules(spark):
     assert got == WANT
 
 
+def heads_of(rows):
+    """For each item the first of those that are in exactly the same rows."""
+    of = {}
+    for n, (items, _) in enumerate(rows):
+        for i in items:
+            of.setdefault(i, set()).add(n)
+    return {i: min(j for j in of if of[j] == of[i]) for i in of}
+
+
 def brute(rows, least, confidence):
     """Every item set within a blocked URL, counted over all."""
     out = {}
+    head = heads_of(rows)
+    rows = [({head[i] for i in items}, bad) for items, bad in rows]
     seen = {s for items, bad in rows if bad for k in range(1, len(items) + 1) for s in combinations(sorted(items), k)}
     for s in seen:
         n = sum(set(s) <= set(i) for i, _ in rows)
@@ -73,22 +84,46 @@ def mined(spark):
 
 
 def test_mined_rules_are_all_rules(mined):
-    _, items, rules = mined
+    _, items, (rules, _) = mined
     rows = [(r["items"], r.blocked) for r in items.filter("blocked IS NOT NULL").collect()]
     got = {tuple(r.antecedent): round(r.confidence, 9) for r in rules.collect()}
     assert got == {k: round(v, 9) for k, v in brute(rows, 5, 0.6).items()} and got
 
 
 def test_match_finds_the_best_rule(mined):
-    _, items, rules = mined
+    _, items, (rules, twins) = mined
     known = rules.collect()
-    got = {tuple(r["items"]): tuple(r.mined) for r in U.match(items, rules).collect()}
+    head = {r.item: r["head"] for r in twins.collect()}
+    got = {tuple(r["items"]): tuple(r.mined) for r in U.match(items, rules, twins).collect()}
     for r in items.collect():
-        fit = [k for k in known if set(k.antecedent) <= set(r["items"])]
+        fit = [k for k in known if set(k.antecedent) <= {head.get(i) for i in r["items"]}]
         best = max(fit, key=lambda k: (k.confidence, k.support, " ".join(k.antecedent)), default=None)
         assert got.get(tuple(r["items"])) == (tuple(best.antecedent) if best else None)
 
 
+def mined_from(spark, rows, **least):
+    rules, _ = U.mine(spark.createDataFrame(rows, "items array<string>, blocked boolean"), **least)
+    return {tuple(r.antecedent): (round(r.support, 9), round(r.confidence, 9)) for r in rules.collect()}
+
+
+def test_counts_are_of_rows(spark):
+    # a and b five times blocked each, together once, among many rows without frequent items
+    rows = [(["a"], True)] * 4 + [(["b"], True)] * 4 + [(["a", "b"], True)] + [([f"x{i}"], False) for i in range(991)]
+    assert mined_from(spark, rows, min_support=0.0, min_count=5) == {("a",): (0.005, 1.0), ("b",): (0.005, 1.0)}
+    # met exactly five times out of 147
+    rows = [(["a"], True)] * 5 + [(["b"], False)] * 142
+    assert mined_from(spark, rows, min_support=0.0, min_count=5) == {("a",): (round(5 / 147, 9), 1.0)}
+
+
+def test_items_that_always_come_together_are_one(spark):
+    keys = [f"q:{i:02d}" for i in range(25)]
+    rows = [(keys, True)] * 6 + [(["q:x"], False)] * 6
+    assert mined_from(spark, rows) == {("q:00",): (0.5, 1.0)}
+    rules, twins = U.mine(spark.createDataFrame(rows, "items array<string>, blocked boolean"))
+    urls = spark.createDataFrame([(["q:07", "z"],), (["q:x"],)], "items array<string>")
+    assert [tuple(r["items"]) for r in U.match(urls, rules, twins).collect()] == [("q:07", "z")]
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([(1, True)], "page_id long, blocked boolean")

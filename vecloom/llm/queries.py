@@ -131,14 +131,15 @@ _URL_SQL = r"""WITH p AS (SELECT page_id, url AS u, CASE WHEN contains(url, '://
   items AS (SELECT DISTINCT page_id, item FROM raw WHERE length(item) > 2),
   marks AS (SELECT doc_id AS page_id, max(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels GROUP BY doc_id),
   labelled AS (SELECT h.page_id, bad FROM h JOIN marks USING (page_id)),
-  least AS (SELECT greatest(5, floor(count(*) * 0.0005)) AS n, count(*) AS every FROM labelled),
-  often AS (SELECT item FROM items JOIN labelled USING (page_id) GROUP BY item HAVING sum(bad::INT) >= (SELECT n FROM least)),
-  basket AS (SELECT page_id, any_value(bad) AS bad, list(item ORDER BY item) AS l FROM items JOIN labelled USING (page_id) JOIN often USING (item) GROUP BY page_id),
+  least AS (SELECT greatest(5, ceil(count(*) * 0.0005 - 1e-9)) AS n, count(*) AS every FROM labelled),
+  often AS (SELECT item, list(page_id ORDER BY page_id) AS pages FROM items JOIN labelled USING (page_id) GROUP BY item HAVING sum(bad::INT) >= (SELECT n FROM least)),
+  twins AS (SELECT item, min(item) OVER (PARTITION BY pages) AS head FROM often),
+  basket AS (SELECT page_id, any_value(bad) AS bad, list(item ORDER BY item) AS l FROM items JOIN labelled USING (page_id) JOIN twins USING (item) WHERE item = head GROUP BY page_id),
   subsets AS (SELECT page_id, bad, l, unnest(range(1, 1 << len(l))) AS m FROM basket),
   sets AS (SELECT page_id, bad, list_filter(l, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM subsets),
   mined AS (SELECT s, sum(bad::INT) / count(*) AS confidence, sum(bad::INT) / (SELECT every FROM least) AS support FROM sets GROUP BY s
-    HAVING sum(bad::INT) >= (SELECT n FROM least) AND sum(bad::INT) / count(*) >= 0.5),
-  have AS (SELECT page_id, list(item) AS l FROM items GROUP BY page_id),
+    HAVING sum(bad::INT) >= (SELECT n FROM least) AND sum(bad::INT) >= 0.5 * count(*)),
+  have AS (SELECT page_id, list(DISTINCT head) AS l FROM items JOIN twins USING (item) GROUP BY page_id),
   best AS (SELECT page_id, arg_max(array_to_string(s, ' '), {'c': confidence, 's': support, 't': array_to_string(s, ' ')}) AS mined, max(confidence) AS confidence FROM have JOIN mined ON list_has_all(l, s) GROUP BY page_id)
   SELECT h.page_id, host, path, rule, coalesce(listed, CASE WHEN mined IS NOT NULL THEN 'block' END, 'allow') AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined, CASE WHEN rule IS NULL THEN confidence END AS confidence
   FROM h LEFT JOIN hit USING (page_id) LEFT JOIN best USING (page_id)"""

@@ -2,8 +2,8 @@
 
 A URL's items are its host labels (`h:`), its path segments (`p:`, digits as `#`) and its query keys (`q:`). Over the
 labelled URLs, each with an item for its label, FP-growth finds the item combinations whose support and confidence of
-blocking are high enough. A rule is posted in an inverted index under its rarest item; a URL meets the rules posted
-under its own items and is blocked if it has all items of one of them. URLs of equal items are judged once.
+blocking are high enough, counted in rows. A rule is posted in an inverted index under its rarest item; a URL meets the
+rules posted under its own items and is blocked if it has all items of one of them. URLs of equal items are judged once.
 
 Everything runs as DataFrame and SQL functions and Spark ML's own FP-growth.
 
@@ -14,6 +14,8 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,34 +61,50 @@ def items(url: Column, host_col: Column, path_col: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(labels, segments, keys), lambda x: F.length(x) > 2)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """From rows (items, blocked): rule_id, antecedent, rarest (its least frequent item), support, confidence.
 
-    FP-growth sees only items that are frequent together with a blocked URL; no rule can hold any other.
+    A rule's count is that of blocked rows with all its items; it needs max(min_count, n * min_support) of the n labelled
+    rows; its support is count / n. FP-growth sees only items that are frequent together with a blocked URL; no rule can
+    hold any other. Items of exactly the same rows are mined as one, so that keys which always come together don't make a
+    rule for each subset; a rule names the first of them and fits whatever has any. Second: (item, head) of all such items.
     """
     spark = labelled.sparkSession
-    labelled = materialise(labelled.filter(F.col("blocked").isNotNull()), "labelled")
+    labelled = materialise(labelled.filter(F.col("blocked").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "labelled")
     n = labelled.count()
-    least = max(min_count, int(n * min_support))
-    counts = labelled.select("blocked", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("int")).alias("bad"))
-    counts = materialise(counts.filter(F.col("bad") >= least).select("item", "n"), "items")
-    rows = materialise(labelled.withColumn("row", F.monotonically_increasing_id()), "rows")
-    kept = rows.select("row", "blocked", F.explode("items").alias("item")).join(counts, "item").groupBy("row", "blocked").agg(F.collect_list("item").alias("have"))
+    least = max(min_count, math.ceil(n * min_support - 1e-9))
+    met = labelled.select("row", "blocked", F.explode("items").alias("item"))
+    mark = F.xxhash64("row").cast("decimal(38,0)")
+    counts = met.groupBy("item").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("int")).alias("bad"), F.sum(mark).alias("same"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("as"), F.min("row").alias("low"), F.max("row").alias("high")
+    )
+    counts = counts.filter(F.col("bad") >= least)
+    # items of equal rows: one of them stands for all
+    twins = counts.groupBy("n", "bad", "same", "as", "low", "high").agg(F.min("item").alias("head"), F.array_sort(F.collect_list("item")).alias("all"))
+    twins = materialise(twins.select("head", "n", F.explode("all").alias("item")), "items")
+    heads = twins.filter("item = head").select("head", "n")
+    kept = met.join(heads.select(F.col("head").alias("item")), "item").groupBy("row", "blocked").agg(F.collect_list("item").alias("have"))
     baskets = kept.select(F.concat("have", F.when(F.col("blocked"), F.array(F.lit("!"))).otherwise(F.array().cast("array<string>"))).alias("basket"))
-    empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, rarest string, support double, confidence double")
-    if n == 0 or baskets.isEmpty():
-        return empty
-    model = FPGrowth(itemsCol="basket", minSupport=least / n, minConfidence=min_confidence).fit(baskets)
-    found = materialise(model.associationRules.filter(F.col("consequent") == F.array(F.lit("!"))).select(F.array_sort("antecedent").alias("antecedent"), "support", "confidence"), "found")
-    found = found.withColumn("rule_id", F.xxhash64("antecedent"))
-    rarest = found.select("rule_id", F.explode("antecedent").alias("item")).join(counts, "item").groupBy("rule_id").agg(F.min(F.struct("n", "item"))["item"].alias("rarest"))
-    return materialise(found.join(rarest, "rule_id").select("rule_id", "antecedent", "rarest", "support", "confidence"), "rules")
-
-
-def match(urls: DataFrame, rules: DataFrame, key: str = "items") -> DataFrame:
+    baskets = materialise(baskets, "baskets")
+    size = baskets.count()
+    if size == 0:
+        return spark.createDataFrame([], "rule_id long, antecedent array<string>, rarest string, support double, confidence double"), twins.select("item", "head")
+    # half a row less than `least`, as the share is rounded on its way to a count
+    model = FPGrowth(itemsCol="basket", minSupport=(least - 0.5) / size, minConfidence=0.0).fit(baskets)
+    sets = materialise(model.freqItemsets.select(F.array_sort(F.array_remove("items", "!")).alias("heads"), F.array_contains("items", "!").alias("bad"), "freq"), "sets")
+    every = sets.filter("NOT bad").select("heads", F.col("freq").alias("of"))
+    found = sets.filter(F.col("bad") & (F.size("heads") > 0) & (F.col("freq") >= least)).join(every, "heads")
+    found = found.filter(F.col("freq") >= min_confidence * F.col("of")).select(F.col("heads").alias("antecedent"), (F.col("freq") / n).alias("support"), (F.col("freq") / F.col("of")).alias("confidence"))
+    rarest = found.select("antecedent", F.explode("antecedent").alias("head")).join(heads, "head").groupBy("antecedent").agg(F.min(F.struct("n", "head"))["head"].alias("rarest"))
+    rules = found.join(rarest, "antecedent").select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "rarest", "support", "confidence")
+    return materialise(rules, "rules"), twins.select("item", "head")
+
+
+def match(urls: DataFrame, rules: DataFrame, twins: DataFrame, key: str = "items") -> DataFrame:
     """For each distinct item set of `urls` that a rule fits: the items and the best rule (by confidence, support, items)."""
     sets = urls.select(key).distinct()
-    met = sets.select(key, F.explode(key).alias("rarest")).join(rules, "rarest").filter(F.size(F.array_except("antecedent", key)) == 0)
+    known = sets.select(key, F.explode(key).alias("item")).join(twins, "item").groupBy(key).agg(F.collect_set("head").alias("heads"))
+    met = known.select(key, "heads", F.explode("heads").alias("rarest")).join(rules, "rarest").filter(F.size(F.array_except("antecedent", "heads")) == 0)
     best = F.max(F.struct("confidence", "support", F.array_join("antecedent", " ").alias("text"), "antecedent"))
     return met.groupBy(key).agg(best.alias("best")).select(key, F.col("best.antecedent").alias("mined"), F.col("best.confidence").alias("confidence"))
 
@@ -102,8 +120,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     p = p.select("id", "host", "path", rule.alias("rule"), verdict.alias("listed"), items(F.col("u"), F.col("host"), F.col("path")).alias("items"))
     p = materialise(p.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))), "urls")
     marks = labels.select(F.col(id_col).alias("id"), "blocked").groupBy("id").agg(F.max("blocked").alias("blocked"))
-    mined = mine(p.join(marks, "id").select("items", "blocked"))
-    best = match(p.filter("rule IS NULL"), mined)
+    best = match(p.filter("rule IS NULL"), *mine(p.join(marks, "id").select("items", "blocked")))
     # one item set may be that of a third of all pages, so its verdict goes to SALTS places
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     spread = best.select(F.col("items").alias("have"), "mined", "confidence", salt.alias("salt"))
