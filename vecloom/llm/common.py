@@ -206,6 +206,18 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(_ODD[seed][0]))
 
 
+def hash_without(data: np.ndarray, start: np.ndarray, end: np.ndarray, hole: np.ndarray, after: np.ndarray, seed: int = 0) -> np.ndarray:
+    """hash_spans() of each span without its bytes from hole to after."""
+    n = len(data) + 1
+    up, down = _power(seed, n)
+    sums = np.empty(n, _U)
+    sums[0] = 0
+    np.cumsum(_salts[seed][data] * up[: n - 1], out=sums[1:])
+    gone = after - hole
+    value = (sums[hole] - sums[start] + (sums[end] - sums[after]) * down[gone]) * down[start]
+    return mix(value + (end - start - gone).astype(_U) * _U(_ODD[seed][0]))
+
+
 def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each run values[start:end] of 64-bit values, of any length."""
     up, down = _power(seed, len(values) + 1)

@@ -1,51 +1,64 @@
 """Fuzzy line deduplication.
 
-A line is normalised to its words: lower-cased runs of letters and digits, every digit as 0. Lines of at least
-`min_words` words are compared; shorter ones stay as they are. Equal normalised lines are one node. Two nodes link
-where their word SimHashes differ in at most RADIUS bits and their edit similarity (1 - Levenshtein / longer length, of
-the normalised lines) is at least `similarity`. Of each connected group the first occurrence (by doc_id, then place)
-stays, all others go.
-
-The SimHash's 64 bits are cut into pieces. Of two values that differ in RADIUS bits all but RADIUS pieces are equal, so
-joining on each choice of that many misses none. A family of lines is not written out as pairs: first each line meets
-only the first one near it in each join (or, where it is in no pair by that, one after it), which connects most
-families; then those near pairs are verified that lie in different components so far. Only candidate lines' texts are
-fetched, through a bitmap of bounded size.
+A line is normalised to its words: lower-cased runs of letters and digits, every digit as 0; characters of scripts
+without spaces are words of their own. Equal normalised lines of any length are one node. Nodes link where they share a
+key (below) and their edit similarity (1 - Levenshtein / longer length, of the normalised lines) is at least
+`similarity`. Of each connected group the first occurrence (by doc_id, then place) stays, all others go. Lines without
+words stay.
+
+A line's features are its different words (of words over LONG bytes, pieces). Its SimHash has 64 bits for each block of
+features: a feature's hash says in which block it votes, and a line of n features has the power of two of blocks that
+leaves 4 to 8 in each. So an edit of a word changes two blocks at most, and by the pigeonhole principle all others stay
+equal: a line's keys are its blocks (one of less than MIN_VOTES features together with the next). A line that is near
+the edge of its number of blocks has the keys of both. Below SMALL features, each feature is its block, and the keys
+are all choices of all blocks but one, and all; below FEW, the blocks are characters. So any one word may differ, be
+missing or be new; how many more depends on the blocks that are left (README has the recall).
+
+A group of lines with a common key is not written out as pairs. First each line meets the first one in it that is near
+by its whole SimHash and length, or else the first such after it, so that each line with any near one is in a pair; the
+pairs' texts are fetched, verified and connected. Then, in groups of three and more near lines, those in different
+components meet; these pairs are verified too and connect components.
 
 Defined results: null and empty texts have one empty line, which stays; a text may end up empty; lines are cut at \\n
 only; a null id comes last in the order; rows with equal ids are different texts; other columns pass unchanged, but
-n_chars, where there is one, is the new text's length; an empty table gives no rows.
+n_chars, where there is one, is the new text's length; an empty table gives no rows; doc_id has to be a long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_runs, hash_spans, majority, materialise, mix, power_of_two, spans, text_bytes
+from .common import bit_counts, hash_runs, hash_spans, hash_without, join_hot, materialise, mix, power_of_two, spans, text_bytes
 from .components import components
-from .packing import bitmap, blocks, joined_words, opened, planes, set_in, unplanes
+from .packing import bitmap, blocks, joined_words, opened, pack, planes, set_in, unpack, unplanes
 
-MIN_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 3
-#: Bits of a word's hash that the SimHash takes; the rest numbers the lines of a block (2**24 at most).
-LOW_BITS = 40
-#: Most bits of the bitmap that finds the candidates' texts, and values of a group, as powers of two.
+#: Differing bits, of 64, up to which lines of a common key are verified; lines of less than SMALL features always are.
+RADIUS = 20
+#: Features below which the keys are all but one of them, and below which they are all characters but one.
+SMALL = 16
+FEW = 4
+#: Features that a key has at least, but for lines that have less.
+MIN_VOTES = 3
+#: Bytes of the longest word that is one feature, and of a longer one's pieces.
+LONG = 24
+PIECE = 8
+#: Most bits of the bitmap that finds the candidates' texts, keys of a group, and lines numbered at once, as powers of two.
 BITMAP_BITS = 27
-GROUP_BITS = 18
-CHUNK = 1 << 14
+GROUP_BITS = 19
+LINE_BITS = 20
 
 _LAST = np.iinfo(np.int64).max
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 _WORD = np.zeros(256, bool)
 _WORD[[ord("0"), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+_U = np.uint64
 
 
 def split_lines(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +70,26 @@ def split_lines(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(order[by], len(data)), row[by]
 
 
+def _word_mask(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are of words, and where characters that are words of their own begin and end.
+
+    Separators beyond ASCII: U+2000 to U+207F, U+3000 to U+303F, U+FF00 to U+FF0F. Words of their own: U+0E00 to U+0EFF,
+    U+1000 to U+10BF, U+1780 to U+17FF, and from U+3040 on but for the separators.
+    """
+    inside = _WORD[low]
+    lead = np.flatnonzero(low >= 0xE0)
+    lead = lead[lead + 2 < len(low)]
+    if not len(lead):
+        return inside, lead
+    x, y, z = low[lead], low[lead + 1], low[lead + 2]
+    gap = (x == 0xE2) & ((y == 0x80) | (y == 0x81)) | (x == 0xE3) & (y == 0x80) | (x == 0xEF) & (y == 0xBC) & (z < 0x90)
+    for k in range(3):
+        inside[lead[gap] + k] = False
+    own = ~gap & ((x >= 0xE3) | (x == 0xE0) & (y >= 0xB8) & (y < 0xBC) | (x == 0xE1) & ((y < 0x83) | (y == 0x9E) | (y == 0x9F)))
+    at = lead[own]
+    return inside, np.concatenate((at, at + np.where(low[at] >= 0xF0, 4, 3)))
+
+
 def normalised(data: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes; the words' start, end and line; the first word of each line and the end."""
     text = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(data.tobytes()))
@@ -64,22 +97,114 @@ def normalised(data: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[
     low = _FOLD[low]
     breaks = np.flatnonzero(low == 10) + 1
     edges = np.sort(np.concatenate((off[:-1], breaks, [len(low)])), kind="stable")
-    start, end, _ = spans(_WORD[low], np.unique(edges))
+    inside, more = _word_mask(low)
+    start, end, _ = spans(inside, np.unique(np.concatenate((edges, more))))
     line = np.searchsorted(edges[:-1], start, side="right") - 1
     return low, start, end, line, np.searchsorted(line, np.arange(len(edges)))
 
 
-def simhash(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of each line (words first to end): over its different words, so that frequent ones don't rule it."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    size = end - first
-    at = np.concatenate(([0], np.cumsum(size)))
-    key = h[np.repeat(first - at[:-1], size) + np.arange(at[-1])] & np.uint64((1 << LOW_BITS) - 1)
-    key |= np.repeat(np.arange(len(first), dtype=np.uint64), size) << np.uint64(LOW_BITS)
-    key.sort()
-    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    return majority(mix(key & np.uint64((1 << LOW_BITS) - 1)), np.bincount((key >> np.uint64(LOW_BITS)).astype(np.int64)))
+def features(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the different features of each line (words first to stop, one at least), by line, and how many there are."""
+    n = end - start
+    pieces = np.where(n > LONG, -(-n // PIECE), 1)
+    at = np.concatenate(([0], np.cumsum(pieces)))
+    own = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(at[-1]) - at[own]
+    a = start[own] + nth * PIECE
+    b = np.where(pieces[own] > 1, np.minimum(a + PIECE, end[own]), end[own])
+    h = mix(hash_spans(low, a, b))
+    out, counts = [], []
+    for i in range(0, len(first), 1 << LINE_BITS):  # the rest of a sort key holds 44 bits of the hash
+        lo, hi = at[first[i : i + (1 << LINE_BITS)]], at[stop[i : i + (1 << LINE_BITS)]]
+        size = hi - lo
+        to = np.concatenate(([0], np.cumsum(size)))
+        line = np.repeat(np.arange(len(size), dtype=_U), size)
+        mine = h[np.repeat(lo - to[:-1], size) + np.arange(to[-1])]
+        order = np.argsort(line << _U(64 - LINE_BITS) | mine >> _U(LINE_BITS))
+        mine, line = mine[order], line[order]
+        new = np.ones(len(mine), bool)
+        new[1:] = (mine[1:] != mine[:-1]) | (line[1:] != line[:-1])
+        out.append(mine[new])
+        counts.append(np.bincount(line[new].astype(np.int64), minlength=len(size)))
+    return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, _U), np.zeros(0, np.int64))
+
+
+def _majority(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(_U)
+
+
+def _classes(size: np.ndarray) -> np.ndarray:
+    """The logarithm of the number of blocks; 0 below SMALL."""
+    return np.where(size < SMALL, 0, np.floor(np.log2(np.maximum(size, 1) / 4 + 1e-9))).astype(np.int64)
+
+
+def _block_keys(h: np.ndarray, size: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and lines of lines cut in 2**c blocks, and the SimHash of each whole line."""
+    line = np.repeat(np.arange(len(size)), size)
+    block = (mix(h ^ _U(0x9E3779B97F4A7C15)) >> _U(64 - c)).astype(np.int64)
+    group = line << c | block
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    lead = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    votes = np.diff(np.append(lead, len(group)))
+    counts = bit_counts(h[order], votes)
+    of = group[lead] >> c
+    sim = _majority(counts, votes)
+    begin = np.searchsorted(of, np.arange(len(size)))
+    whole = _majority(np.add.reduceat(counts, begin, axis=0), size)
+    after = np.arange(len(lead)) + 1
+    last = np.append(begin[1:], len(lead))[of]
+    after = np.where(after == last, begin[of], after)
+    key = sim.copy()
+    thin = votes < MIN_VOTES
+    key[thin] = mix(sim[thin] + mix(sim[after[thin]]))
+    return mix(key ^ mix((group[lead] & (1 << c) - 1).astype(_U) + _U(c << 48))), of, whole
+
+
+def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and their lines; of each line the SimHash and whether it has SMALL features or more."""
+    h, size = features(low, start, end, first, stop)
+    to = np.concatenate(([0], np.cumsum(size)))
+    line = np.repeat(np.arange(len(size)), size)
+    sim = np.zeros(len(size), _U)
+    keys, lines = [], []
+    edge = np.ceil(size * SIMILARITY).astype(np.int64)
+    own, near = _classes(size), _classes(edge)
+
+    def of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[which]
+        cut = np.concatenate(([0], np.cumsum(n)))
+        return np.repeat(to[which] - cut[:-1], n) + np.arange(cut[-1]), n
+
+    for c in np.unique(np.concatenate((own, near))).tolist():
+        which = np.flatnonzero((own == c) | (near == c))
+        at, n = of(which)
+        if c:
+            k, l, whole = _block_keys(h[at], n, c)
+            keys.append(k)
+            lines.append(which[l])
+            sim[which] = whole  # of both classes the same
+        else:
+            total = np.add.reduceat(h[at], np.cumsum(n) - n) if len(n) else np.zeros(0, _U)
+            some = np.repeat(n >= FEW, n)
+            each = np.repeat(total, n)[some] - h[at][some]
+            keys += [mix(total + _U(1)), mix(each + _U(1))]
+            lines += [which, line[at][some]]
+            mine = which[own[which] == 0]
+            if len(mine):
+                at, n = of(mine)
+                sim[mine] = _majority(bit_counts(h[at], n), n)
+    few = np.flatnonzero(size < FEW)
+    if len(few):
+        n = stop[few] - first[few]
+        cut = np.concatenate(([0], np.cumsum(n)))
+        w = np.repeat(first[few] - cut[:-1], n) + np.arange(cut[-1])
+        data, off = text_bytes(joined_words(low, start[w], end[w], np.repeat(np.arange(len(few)), n), len(few)))
+        hole = np.flatnonzero((data & 0xC0) != 0x80)
+        row = np.searchsorted(off, hole, side="right") - 1
+        keys += [mix(hash_spans(data, off[:-1], off[1:]) ^ _U(7)), mix(hash_without(data, off[:-1][row], off[1:][row], hole, np.append(hole[1:], len(data))) ^ _U(7))]
+        lines += [few, few[row]]
+    return (np.concatenate(keys), np.concatenate(lines), sim, size >= SMALL) if keys else (np.zeros(0, _U), np.zeros(0, np.int64), sim, size >= SMALL)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -120,99 +245,142 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
 
-def choices(n: int) -> list[np.uint64]:
-    """Masks of the bits of each choice of all but RADIUS pieces, for n values: as few pieces as leave about 32 values to a key."""
-    pieces = next(p for p in range(RADIUS + 1, 16) if 64 * (p - RADIUS) // p >= np.log2(max(n, 2)) - 5)
-    edge = np.linspace(0, 64, pieces + 1).astype(int)
-    piece = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edge, edge[1:], strict=False)]
-    return [np.uint64(sum(c)) for c in combinations(piece, pieces - RADIUS)]
-
-
-def _lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
-    """Of each block: number, ids, folded bytes, words (start, end), (first word, end), line and text of the lines compared."""
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Of each block: number, ids, folded bytes, words (start, end), (first word, end), line and text of the lines that have words."""
     for block, ids, data, cuts in opened(batch):
         starts, row = split_lines(data, cuts)
         low, start, end, _, first = normalised(data, starts, cuts)
-        size = np.diff(first)
-        use = np.flatnonzero(size >= least)
+        use = np.flatnonzero(np.diff(first))
         yield block, ids, low, start, end, first[:-1][use], first[1:][use], use, row[use]
 
 
-def _candidates(nodes: DataFrame, n: int, apart: bool) -> DataFrame:
-    """Pairs (x, y) of gid whose sim differ in at most RADIUS bits.
-
-    apart: all those of different `component`. Else, for each y and each join, the one with the first x, and one pair for
-    each x that is in none by that: so all that are near another are in some pair.
-    """
-    masks = choices(n)
-    groups = power_of_two(n / (1 << GROUP_BITS), 2, 16)
-    names = ["gid", "sim", "component"][: 2 + apart]
+def _near(sim: np.ndarray, length: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines i and j may be similar. length: of the normalised line, negative below SMALL features."""
+    a, b = np.abs(length[i]), np.abs(length[j])
+    fits = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+    return fits & ((np.bitwise_count(sim[i] ^ sim[j]) <= RADIUS) | (length[i] < 0) | (length[j] < 0))
+
+
+def first_meetings(key: np.ndarray, sim: np.ndarray, length: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines sorted by key: pairs of places, so that each line that is near another of its key is in one; and who is in any."""
+    lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(lead, len(key)))
+    start, stop = np.repeat(lead, size), np.repeat(lead + size, size)
+    xs, ys, paired = [], [], np.zeros(len(key), bool)
+    i, step = np.flatnonzero(np.repeat(size > 1, size)), 0
+    while len(i):  # those without a partner yet with the one `step` places after their key's first
+        i = i[i - start[i] > step]
+        x = start[i] + step
+        ok = _near(sim, length, x, i, similarity)
+        xs.append(x[ok])
+        ys.append(i[ok])
+        i = i[~ok]
+        step += 1
+    for v in (*xs, *ys):
+        paired[v] = True
+    i, step = np.flatnonzero(~paired & np.repeat(size > 1, size)), 0
+    while len(i):  # those in no pair so far, with the first one after them that is near, which has met another
+        step += 1
+        i = i[i + step < stop[i]]
+        ok = _near(sim, length, i, i + step, similarity)
+        xs.append(i[ok])
+        ys.append(i[ok] + step)
+        paired[i[ok]] = True
+        i = i[~ok]
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+    return x, y, paired
+
+
+def _meet(texts: DataFrame, groups: int, similarity: float) -> DataFrame:
+    """x, y (hashes a of two near lines), and, with key, sim, length, the near lines x of keys that have three or more."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = _U(64 - int(np.log2(groups)))
         for batch in batches:
-            columns = [batch.column(v).to_numpy() for v in names]
-            sim = columns[1].view(np.uint64)
-            for c, mask in enumerate(masks):
-                g = (mix(sim & mask) % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(g, kind="stable")
-                cut = np.searchsorted(g[order], np.arange(groups + 1)).tolist()
-                parts = [(k, order[cut[k] : cut[k + 1]]) for k in range(groups) if cut[k] < cut[k + 1]]
-                packed = [pa.array([planes(v[o]) for _, o in parts], pa.binary()) for v in columns]
-                yield pa.record_batch([pa.array([c * groups + k for k, _ in parts], pa.int64()), *packed], names=["g", *names])
+            for _, _, low, start, end, first, stop, _, _ in _lines(batch):
+                if not len(first):
+                    continue
+                h = hash_spans(low, start, end)
+                a, once = np.unique(hash_runs(h, first, stop), return_index=True)
+                first, stop = first[once], stop[once]
+                size = np.concatenate(([0], np.cumsum(((low & 0xC0) != 0x80).astype(np.int64))))
+                letters = np.concatenate(([0], np.cumsum(size[end] - size[start])))
+                length = letters[stop] - letters[first] + stop - first - 1
+                key, line, sim, wide = keys_of(low, start, end, first, stop)
+                length = np.where(wide, length, -length)
+                order = np.argsort(key, kind="stable")
+                key, line = key[order], line[order]
+                cut = np.searchsorted(key >> shift, np.arange(groups + 1, dtype=_U)).tolist()
+                full = [(g, slice(cut[g], cut[g + 1])) for g in range(groups) if cut[g] < cut[g + 1]]
+                a, sim, length = a[line].view(np.int64), sim[line], length[line].astype(np.int32)
+                yield pa.record_batch(
+                    [pa.array([g for g, _ in full], pa.int32()), pa.array([pack(key[p]) for _, p in full], pa.binary()), *(pa.array([planes(v[p]) for _, p in full], pa.binary()) for v in (a, sim, length))],
+                    names=["g", "key", "a", "sim", "length"],
+                )
 
     def meet(group: pa.Table) -> pa.Table:
-        c = group.column("g")[0].as_py() // groups
-        gid, sim, *rest = (np.concatenate([unplanes(x.as_py(), kind) for x in group.column(v)]) for v, kind in zip(names, ("<i8", "<u8", "<i8"), strict=False))
-        key = sim & masks[c]
-        order = np.lexsort((gid, key))
-        gid, sim, key = gid[order], sim[order], key[order]
-        own = rest[0][order] if apart else gid
-        lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        last = np.append(lead[1:], len(key))
-        i, step, xs, ys = np.arange(len(key)), 0, [], []
-        if apart:
-            stop = np.repeat(last, last - lead)
-            while len(i):  # each with the one `step` places on, as far as its key goes
-                step += 1
-                i = i[i + step < stop[i]]
-                d = sim[i] ^ sim[i + step]
-                ok = (np.bitwise_count(d) <= RADIUS) & (own[i] != own[i + step])
-                for m in masks[:c]:
-                    ok &= (d & m) != 0
-                xs.append(i[ok])
-                ys.append(i[ok] + step)
-        else:
-            start = np.repeat(lead, last - lead)
-            while len(i):  # those without a partner yet with the one `step` places after their key's first
-                i = i[i - start[i] > step]
-                x = start[i] + step
-                ok = np.bitwise_count(sim[i] ^ sim[x]) <= RADIUS
-                xs.append(x[ok])
-                ys.append(i[ok])
-                i = i[~ok]
-                step += 1
-            paired = np.zeros(len(key), bool)
-            for v in (*xs, *ys):
-                paired[v] = True
-            stop = np.repeat(last, last - lead)
-            i, step = np.flatnonzero(~paired), 0
-            while len(i):  # those in no pair so far, with the first one after them that is near, which has met another
-                step += 1
-                i = i[i + step < stop[i]]
-                ok = np.bitwise_count(sim[i] ^ sim[i + step]) <= RADIUS
-                xs.append(i[ok])
-                ys.append(i[ok] + step)
-                i = i[~ok]
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table({"x": pa.array(np.minimum(gid[x], gid[y]), pa.int64()), "y": pa.array(np.maximum(gid[x], gid[y]), pa.int64())})
-
-    packed = nodes.select(*names).mapInArrow(spread, "g long, " + ", ".join(f"{v} binary" for v in names))
-    return packed.groupBy("g").applyInArrow(meet, "x long, y long").distinct()
-
-
-def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """gid, line (normalised) of all in the pairs."""
-    wanted = materialise(nodes.join(pairs.select(F.col("x").alias("gid")).unionByName(pairs.select(F.col("y").alias("gid"))).distinct(), "gid").select("gid", "a", "b"), "wanted")
+        key = np.concatenate([unpack(x.as_py()) for x in group.column("key")])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        shared = np.zeros(len(key), bool)
+        shared[1:] = key[1:] == key[:-1]
+        shared[:-1] |= shared[1:]
+        key, order = key[shared], order[shared]
+        a, sim, length = (np.concatenate([unplanes(x.as_py(), kind) for x in group.column(v)])[order] for v, kind in (("a", "<i8"), ("sim", "<u8"), ("length", "<i4")))
+        order = np.lexsort((a, key))
+        key, a, sim, length = key[order], a[order], sim[order], length[order]
+        new = np.ones(len(key), bool)  # a line is once in a key, however many blocks of texts have it
+        new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])
+        key, a, sim, length = key[new], a[new], sim[new], length[new]
+        x, y, paired = first_meetings(key, sim, length, similarity)
+        pair = np.unique(np.stack((np.minimum(a[x], a[y]), np.maximum(a[x], a[y]))), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+        at = np.flatnonzero(paired)
+        _, of, n = np.unique(key[at], return_inverse=True, return_counts=True)
+        at = at[n[of] > 2]
+        none = np.ones(len(at), bool)
+        return pa.table(
+            {
+                "x": pa.array(np.concatenate((pair[0], a[at]))),
+                "y": pa.array(np.concatenate((pair[1], a[at])), mask=np.concatenate((np.zeros(pair.shape[1], bool), none))),
+                "key": pa.array(np.concatenate((np.zeros(pair.shape[1], np.int64), key[at].view(np.int64)))),
+                "sim": pa.array(np.concatenate((np.zeros(pair.shape[1], np.int64), sim[at].view(np.int64)))),
+                "length": pa.array(np.concatenate((np.zeros(pair.shape[1], np.int32), length[at]))),
+            }
+        )
+
+    packed = texts.select("block", "ids", "cuts", "texts").mapInArrow(spread, "g int, key binary, a binary, sim binary, length binary")
+    return materialise(packed.groupBy("g").applyInArrow(meet, "x long, y long, key long, sim long, length int"), "met")
+
+
+def _apart(members: DataFrame, similarity: float) -> DataFrame:
+    """From (key, gid, sim, length, component): pairs x, y of one key that are near and of different components."""
+
+    def cross(group: pa.Table) -> pa.Table:
+        gid, sim, length, own = (group.column(c).to_numpy() for c in ("gid", "sim", "length", "component"))
+        order = np.lexsort((gid, own))
+        gid, sim, length, own = gid[order], sim[order].view(_U), length[order], own[order]
+        j = np.searchsorted(own, own, side="right")  # the first place of the next component
+        i, xs, ys = np.arange(len(gid)), [], []
+        while True:
+            live = j < len(gid)
+            i, j = i[live], j[live]
+            if not len(i):
+                break
+            ok = _near(sim, length, i, j, similarity)
+            xs.append(gid[i[ok]])
+            ys.append(gid[j[ok]])
+            j = j + 1
+        return pa.table({"x": pa.array(np.concatenate(xs) if xs else np.zeros(0, np.int64)), "y": pa.array(np.concatenate(ys) if ys else np.zeros(0, np.int64))})
+
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    some = members.join(mixed, "key", "left_semi")
+    return some.groupBy("key").applyInArrow(cross, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """gid, a, line (normalised) of all in the pairs."""
+    ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
+    wanted = materialise(nodes.join(ends, "a").select("gid", "a", "b"), "wanted")
     n = wanted.count()
     bits = int(np.log2(power_of_two(16 * n, 16, BITMAP_BITS)))
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
@@ -220,7 +388,7 @@ def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, least: int) ->
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, shift = shared.value, np.uint64(64 - bits)
         for batch in batches:
-            for _, _, low, start, end, first, stop, _, _ in _lines(batch, least):
+            for _, _, low, start, end, first, stop, _, _ in _lines(batch):
                 h = hash_spans(low, start, end)
                 a = hash_runs(h, first, stop)
                 hit = np.flatnonzero(set_in(seen, a >> shift))
@@ -234,61 +402,58 @@ def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, least: int) ->
                 yield pa.record_batch([pa.array(a[hit].view(np.int64)), pa.array(b.view(np.int64)), line], names=["a", "b", "line"])
 
     got = texts.select("block", "ids", "cuts", "texts").mapInArrow(fetch, "a long, b long, line string")
-    return materialise(got.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("line").alias("line")).join(wanted, ["a", "b"]).select("gid", "line"), "candidates")
+    return materialise(got.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("line").alias("line")).join(wanted, ["a", "b"]).select("gid", "a", "line"), "candidates")
 
 
-def _verify(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose edit similarity is high enough."""
+def _verify(pairs: DataFrame, known: DataFrame, on: str, similarity: float) -> DataFrame:
+    """Of the pairs (x, y), values of known's column `on`: those (a, b) of gids whose edit similarity is high enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similar(s, t, similarity) for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch([batch.column("p"), batch.column("q")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(known.select(F.col("gid").alias("x"), F.col("line").alias("s")), "x").join(known.select(F.col("gid").alias("y"), F.col("line").alias("t")), "y")
-    return both.select("x", "y", "s", "t").mapInArrow(run, "a long, b long")
+    one = known.select(F.col(on).alias("x"), F.col("gid").alias("p"), F.col("line").alias("s"))
+    two = known.select(F.col(on).alias("y"), F.col("gid").alias("q"), F.col("line").alias("t"))
+    return pairs.join(one, "x").join(two, "y").select("p", "q", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs (doc_id, text, any other columns) without repeated lines."""
     names = docs.columns
     texts = blocks(docs, names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, ids, low, start, end, first, stop, line, row in _lines(batch, min_words):
+            for block, ids, low, start, end, first, stop, line, row in _lines(batch):
                 h = hash_spans(low, start, end)
                 a, b = hash_runs(h, first, stop), hash_runs(h, first, stop, 1)
                 own = ids.fill_null(_LAST).to_numpy()[row]
-                _, once, of = np.unique(a, return_index=True, return_inverse=True)
-                sim = simhash(h, first[once], stop[once])[of]
-                yield pa.record_batch(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(own), pa.array(np.full(len(a), block)), pa.array(line.astype(np.int32))],
-                    names=["a", "b", "sim", "own", "block", "at"],
-                )
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(own), pa.array(np.full(len(a), block)), pa.array(line.astype(np.int32))], names=["a", "b", "own", "block", "at"])
 
-    lines = materialise(texts.select("block", "ids", "cuts", "texts").mapInArrow(scan, "a long, b long, sim long, own long, block long, at int"), "lines")
+    lines = materialise(texts.select("block", "ids", "cuts", "texts").mapInArrow(scan, "a long, b long, own long, block long, at int"), "lines")
     place = F.struct("own", "block", "at")
-    nodes = lines.groupBy("a", "b").agg(F.min("sim").alias("sim"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
+    nodes = lines.groupBy("a", "b").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
     nodes = materialise(nodes.withColumn("gid", F.monotonically_increasing_id()), "nodes")
-    n = nodes.count()
-    pairs = materialise(_candidates(nodes, n, False), "pairs")
-    known = _texts(texts, nodes, pairs, min_words)
-    near = materialise(_verify(pairs, known, similarity), "near")
+    met = _meet(texts, power_of_two(nodes.count() * 8 / (1 << GROUP_BITS), 3, 16), similarity)
+    pairs = materialise(met.filter("y IS NOT NULL").select("x", "y").distinct(), "pairs")
+    known = _texts(texts, nodes, pairs)
+    near = materialise(_verify(pairs, known, "a", similarity), "near")
     of = components(near)
-    some = nodes.join(known.select("gid"), "gid", "left_semi").join(of.withColumnRenamed("node", "gid"), "gid", "left")
-    some = materialise(some.select("gid", "sim", F.coalesce("component", "gid").alias("component")), "met")
-    more = materialise(_verify(_candidates(some, n, True), known, similarity), "more")
+    some = known.select("gid", "a").join(of.withColumnRenamed("node", "gid"), "gid", "left").select("gid", "a", F.coalesce("component", "gid").alias("component"))
+    some = materialise(some, "some")
+    members = materialise(met.filter("y IS NULL").select(F.col("x").alias("a"), "key", "sim", "length").join(some, "a"), "members")
+    more = materialise(_verify(_apart(members, similarity), known, "gid", similarity), "more")
     if not more.isEmpty():  # components that turn out to be one
         where = some.select("gid", "component")
         ends = more.join(where.withColumnRenamed("component", "p").withColumnRenamed("gid", "a"), "a").join(where.withColumnRenamed("component", "q").withColumnRenamed("gid", "b"), "b")
         joined = components(ends.select("p", "q"), "p", "q").select(F.col("node").alias("component"), F.col("component").alias("whole"))
         of = some.join(joined, "component", "left").select(F.col("gid").alias("node"), F.coalesce("whole", "component").alias("component"))
-    grouped = nodes.join(of, nodes["gid"] == of["node"], "left").filter("n > 1 OR component IS NOT NULL").select("a", "b", "place", F.coalesce("component", "gid").alias("component"))
+    grouped = nodes.join(of, nodes["gid"] == of["node"], "left").filter("n > 1 OR component IS NOT NULL").select("a", "b", "place", "n", F.coalesce("component", "gid").alias("component"))
     grouped = materialise(grouped, "grouped")
-    kept = materialise(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")
-    keys = grouped.join(kept, "component").select("a", "b", "kept")
-    gone = lines.join(keys, ["a", "b"]).filter(place != F.col("kept")).groupBy("block").agg(F.collect_list("at").alias("gone"))
+    kept = grouped.groupBy("component").agg(F.min("place").alias("kept"), F.count(F.lit(1)).alias("lines"))
+    keys = materialise(join_hot(grouped, materialise(kept, "kept"), ["component"], "lines").select("a", "b", "n", "kept"), "keys")
+    gone = join_hot(lines, keys, ["a", "b"], "n").filter(place != F.col("kept")).groupBy("block").agg(F.collect_list("at").alias("gone"))
     count = "n_chars" in names
 
     def rebuild(block: pa.Table, found: pa.Table) -> pa.Table:
