@@ -1,16 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a template: numbers, units and names (capitalised words within a sentence, several in a row as one) turn
+A text becomes a template: numbers (several words for one number, or a fraction, as one), units and names (capitalised
+words, several in a row as one, at a sentence's start too, as what stands before a quotation should not matter) turn
 into typed placeholders, other words into their lower-cased letters. Windows of `width` template tokens are joined with
 those of the benchmark's items by hash; in front of the join, a bitmap of bounded size keeps back nearly all windows
-that no item has. What matches on one diagonal (place in the text less place in the item) is one alignment. It counts
-if it holds at least `share` of the item's windows and its slots are consistent: each value in the item's slots stands
-for one value in the text. So a question with other numbers or names is caught, and an unrelated text of like form not.
+that no item has. An item counts only where `share` of its windows match, so one of its `1 - share` rarest windows and
+one more has to; only these look for candidates, and a window that many items share joins no more than it must. What
+matches on near diagonals (place in the text less place in the item, DRIFT apart at most from one to the next) is one
+alignment, as a word more or less moves the rest. It counts if it holds at least `share` of the item's windows and its
+slots are consistent: each value in the item's slots stands for one value in the text. So a question with other numbers
+or names is caught, and an unrelated text of like form not.
 
 Defined results: null and empty texts have no windows; an item with fewer than `width` tokens, but at least MIN_ITEM, is
 one window, matched by texts' windows of its own length; a window needs `literals` literal tokens (all but one where it
-is shorter). An item without such a window is matched by its windows with any literal, if a third of its tokens are
-literals and two at least, else by the exact words and numbers of all its windows. An item of fewer than MIN_ITEM tokens
+is shorter). An item without such a window is matched by its windows with any literal, names taken as literals, if a
+third of its tokens are such and two at least, else by the exact words and numbers of all its windows. An item of fewer than MIN_ITEM tokens
 matches texts of just these tokens; one without tokens matches nothing; of rows with equal id and text all or none match; empty tables give no
 rows or no matches; other columns pass unchanged.
 """
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_runs, hash_spans, materialise, power_of_two, slices, spans, text_bytes
@@ -31,6 +35,7 @@ WIDTH = 5
 SHARE = 0.8
 LITERALS = 3
 MIN_ITEM = 3
+DRIFT = 2
 BITMAP_BITS = 26
 
 #: Units of measure, and words for numbers, that count as such.
@@ -47,16 +52,12 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[*b" \t\r\"'()[]"]] = True
-_ENDS = np.zeros(256, bool)
-_ENDS[[*b".!?:;\n"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 NUMBER, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
 
-#: What windows an item is matched by: with enough literals, with any literal, by exact values, whole texts by exact values.
+#: What windows an item is matched by: with enough literals; with any literal, names counted as such; by exact values; whole texts by exact values.
 USUAL, SPARSE, EXACT, WHOLE = range(4)
 
 
@@ -87,18 +88,18 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     code = word.copy()
     code[is_number | np.isin(word, _NUMBER_HASHES)] = NUMBER
     code[np.isin(word, _UNIT_HASHES) & (code != NUMBER)] = UNIT
-    # a sentence starts at a text's start and where the last byte that is not blank ends one
-    seen = np.where(_BLANK[data], -1, np.arange(len(data)))
-    seen = np.maximum.accumulate(seen)
-    before = np.where(start > 0, seen[np.maximum(start - 1, 0)], -1)
-    first = (before < off[row]) | _ENDS[data[np.maximum(before, 0)]]
     second = data[np.minimum(start + 1, len(data) - 1)]
     capital = _UPPER[data[start]] | ((data[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
-    code[capital & ~first & (code != NUMBER) & (code != UNIT)] = NAME
-    # names in a row are one slot
-    name = code == NAME
+    code[capital & (code != NUMBER) & (code != UNIT)] = NAME
+    # names in a row are one slot, and so are numbers of several words and fractions
+    name, amount = code == NAME, code == NUMBER
     more = np.zeros(len(code), bool)
-    more[1:] = name[1:] & name[:-1] & (row[1:] == row[:-1])
+    gap = start[1:] - end[:-1]
+    between = data[np.minimum(end[:-1], len(data) - 1)]
+    more[1:] = name[1:] & name[:-1] & (gap == 1) & ((between == ord(" ")) | (between == ord("-")))
+    spelt = ~is_number[1:] | ~is_number[:-1]
+    more[1:] |= amount[1:] & amount[:-1] & (gap == 1) & ((between == ord("/")) | spelt & ((between == ord(" ")) | (between == ord("-"))))
+    more[1:] &= row[1:] == row[:-1]
     lead = np.flatnonzero(~more)
     value = hash_runs(word, lead, np.append(lead[1:], len(code)), 1) if len(lead) else word
     return code[lead], value, row[lead]
@@ -110,18 +111,19 @@ def _windows(code: np.ndarray, value: np.ndarray, row: np.ndarray, width: int, l
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least = {USUAL: literals, SPARSE: 1}.get(way, 0)
-    literal = np.concatenate(([0], np.cumsum(code > NAME)))
+    literal = np.concatenate(([0], np.cumsum(code > (UNIT if way == SPARSE else NAME))))
     ok = (row[:n] == row[width - 1 :]) & (literal[width:] - literal[:n] >= least)
     if way == WHOLE:
         ok[1:] &= row[1:n] != row[: n - 1]
         ok[:-1] &= row[: n - 1] != row[width:]
     at = np.flatnonzero(ok)
-    return at, hash_runs(value if way >= EXACT else code, at, at + width)
+    what = value if way >= EXACT else np.where(code == NAME, value, code) if way == SPARSE else code
+    return at, hash_runs(what, at, at + width)
 
 
 def _ways(code: np.ndarray, row: np.ndarray, size: np.ndarray, width: int, literals: int) -> np.ndarray:
     """The way of each item, which has `size` tokens."""
-    n = np.bincount(row, (code > NAME).astype(np.int64), len(size))
+    n = np.bincount(row, (code > UNIT).astype(np.int64), len(size))
     way = np.where((n >= 2) & (3 * n >= size), SPARSE, EXACT)
     for k in range(MIN_ITEM, width + 1):
         mine = size >= width if k == width else size == k
@@ -206,11 +208,25 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
                         )
 
     hits = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, f"row long, {_FOUND}")
-    k = known.select("item_id", "w", "way", "width", "total", F.col("place").alias("at"), F.col("slots").alias("mine"))
-    met = hits.join(k, ["w", "way", "width"]).withColumn("pairs", F.arrays_zip("mine", "slots"))
-    aligned = met.groupBy("row", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
-        F.countDistinct("at").alias("n"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    hits = materialise(hits, "hits")
+    key = ["w", "way", "width"]
+    common = known.groupBy(*key).agg(F.count(F.lit(1)).alias("items"))
+    rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "w", "place"))  # an item's windows
+    must = F.col("total") - F.ceil(F.col("total") * share - 1e-9) + 1
+    few = known.join(common, key).withColumn("rank", rarest).filter(F.col("rank") <= must).select("item_id", *key).distinct()
+    chosen = hits.select("row", *key).distinct().join(few, key).select("row", "item_id").distinct()
+    k = known.select("item_id", *key, "total", F.col("place").alias("at"), F.col("slots").alias("mine"))
+    met = hits.join(chosen, "row").join(k, ["item_id", *key]).withColumn("pairs", F.arrays_zip("mine", "slots"))
+    lines = met.groupBy("row", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    order = Window.partitionBy("row", "item_id").orderBy("shift")
+    begins = F.coalesce((F.col("shift") - F.lag("shift").over(order) > DRIFT).cast("int"), F.lit(1))
+    chained = lines.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
+    whole = chained.groupBy("row", "item_id", "chain").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
+    # a chain with a stray match in it may hold a sound line all the same
+    alone = lines.select("row", "item_id", F.lit(0).alias("chain"), F.size("at").alias("n"), "total", "pairs")
+    aligned = whole.unionByName(alone)
     sound = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["mine"])))
     changed = F.exists("pairs", lambda p: p["mine"] != p["slots"])
     good = aligned.filter((F.col("n") >= share * F.col("total") - 1e-9) & sound)
