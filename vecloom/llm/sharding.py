@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 
 
 def schedule(items: list[tuple[str, int, int]], shards: int) -> list[tuple[str, int, int]]:
@@ -66,9 +66,10 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     plan = schedule(items, shards)
     at = spark.createDataFrame([(name, s, parts[name]) for name, s, _ in plan], "item string, shard int, parts int")
     salted = (
-        rows.join(placed.select("key", "item"), "key")
+        join_hot(rows, placed.select("key", "item", "rows"), ["key"], "rows")
+        .drop("rows")
         .join(F.broadcast(at), "item")
-        .withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("id", "crc"), F.col("parts")).cast("int"))
     )
     split = {}  # of items over part_rows, at most 10,000 parts and one for each
     if any(p > 1 for p in parts.values()):
