@@ -24,8 +24,8 @@ def test_stages_one_after_the_other(spark, tmp_path):
 
 def test_near_duplicates_leave_one(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    kept = simhash.keep_one(docs)
-    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    kept = pipeline.drop_near_duplicates(spark, docs, DIR)
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5).collect()}
     assert {r.doc_id for r in kept.collect()} == set(of.values())
 
 

@@ -202,7 +202,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if runs.isEmpty():
         return near
     torn = distinct.sparkSession.sparkContext.broadcast(bitmap(runs, TORN_BITS))
-    shared = materialise(chunks.select("fps").mapInArrow(again, "a long, v long, fp long").join(runs, "a", "left_semi").select("v", "fp"), "shared")
+    shared = materialise(chunks.select("fps").repartition(max(1, min(n_chunks, 100_000))).mapInArrow(again, "a long, v long, fp long").join(runs, "a", "left_semi").select("v", "fp"), "shared")
     star = shared.groupBy("v").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = shared.join(star.drop("n"), "v").select(F.col("fp").alias("a"), "b").filter("a <> b")
     return near.unionByName(stars).distinct()
