@@ -16,6 +16,9 @@ from vecloom.llm import bpe, decontamination, lines, simhash, toxicity
 from vecloom.llm.common import made, materialise, release, table, tune
 from vecloom.llm.queries import TOXIC_FROM, tokenizer_path
 
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _spans: list[tuple[int, int]] = []
 
@@ -49,8 +52,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """The first document of each group of near-duplicates, by fingerprints of five-word shingles."""
+    return simhash.keep_one(docs, SHINGLE)
 
 
 @_stage
