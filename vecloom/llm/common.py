@@ -251,12 +251,13 @@ def bit_counts(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     at = np.repeat(first - of * 255, pieces) + np.arange(pieces.sum()) * 255
     lanes = _LANES[np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)]
     counts = np.add.reduceat(lanes, at, axis=0).astype("<u8").view(np.uint8).reshape(len(at), 64)
-    return np.add.reduceat(counts.astype(np.int32), of, axis=0) if len(at) > len(size) else counts.astype(np.int32)
+    return np.add.reduceat(counts, of, axis=0, dtype=np.int32) if len(at) > len(size) else counts
 
 
 def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Of each run the 64-bit value whose bits are 1 where they are in over half the run's values."""
-    over = bit_counts(h, size) * 2 > size[:, None]
+    counts = bit_counts(h, size)
+    over = counts > (size // 2).astype(counts.dtype)[:, None]
     return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 

@@ -33,16 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_counts, hash_runs, hash_spans, hash_without, join_hot, materialise, mix, power_of_two, spans, text_bytes
+from .common import hash_runs, hash_spans, hash_without, join_hot, majority, materialise, mix, power_of_two, spans, text_bytes
 from .components import components
 from .packing import bitmap, blocks, joined_words, opened, pack, planes, set_in, unpack, unplanes
 
 SIMILARITY = 0.8
 #: Differing bits, of 64, up to which lines of a common key are verified; lines of less than SMALL features always are.
-RADIUS = 20
-#: Features below which the keys are all but one of them, and below which they are all characters but one.
+RADIUS = 16
+#: Features below which the keys are all words but one.
 SMALL = 16
-FEW = 4
 #: Features that a key has at least, but for lines that have less.
 MIN_VOTES = 3
 #: Bytes of the longest word that is one feature, and of a longer one's pieces.
@@ -129,17 +128,13 @@ def features(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndar
     return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, _U), np.zeros(0, np.int64))
 
 
-def _majority(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(_U)
-
-
 def _classes(size: np.ndarray) -> np.ndarray:
     """The logarithm of the number of blocks; 0 below SMALL."""
     return np.where(size < SMALL, 0, np.floor(np.log2(np.maximum(size, 1) / 4 + 1e-9))).astype(np.int64)
 
 
-def _block_keys(h: np.ndarray, size: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and lines of lines cut in 2**c blocks, and the SimHash of each whole line."""
+def _block_keys(h: np.ndarray, size: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and lines of lines cut in 2**c blocks."""
     line = np.repeat(np.arange(len(size)), size)
     block = (mix(h ^ _U(0x9E3779B97F4A7C15)) >> _U(64 - c)).astype(np.int64)
     group = line << c | block
@@ -147,64 +142,75 @@ def _block_keys(h: np.ndarray, size: np.ndarray, c: int) -> tuple[np.ndarray, np
     group = group[order]
     lead = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     votes = np.diff(np.append(lead, len(group)))
-    counts = bit_counts(h[order], votes)
+    sim = majority(h[order], votes)
     of = group[lead] >> c
-    sim = _majority(counts, votes)
     begin = np.searchsorted(of, np.arange(len(size)))
-    whole = _majority(np.add.reduceat(counts, begin, axis=0), size)
     after = np.arange(len(lead)) + 1
     last = np.append(begin[1:], len(lead))[of]
     after = np.where(after == last, begin[of], after)
     key = sim.copy()
     thin = votes < MIN_VOTES
     key[thin] = mix(sim[thin] + mix(sim[after[thin]]))
-    return mix(key ^ mix((group[lead] & (1 << c) - 1).astype(_U) + _U(c << 48))), of, whole
+    return mix(key ^ mix((group[lead] & (1 << c) - 1).astype(_U) + _U(c << 48))), of
+
+
+def _hole_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows of normalised lines: of the whole line, without each word, and of long words without each character.
+
+    A word of over 1 - SIMILARITY of the line is long; one of over half as much again is not left out whole.
+    """
+    data, off = text_bytes(text)
+    head = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # characters before each byte
+    start, end, row = spans(data != 32, off)
+    most = ((head[off[1:]] - head[off[:-1]]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    last = end == off[1:][row]
+    first = start == off[:-1][row]
+    size = head[end] - head[start] + 1
+    fits = (2 * size <= 3 * most[row]) & ~(first & last)
+    hole = np.where(last, start - 1, start)[fits]  # with the space after it, the last one with that before
+    after = np.where(last, end, end + 1)[fits]
+    whose = row[fits]
+    long = size > most[row]
+    one = np.flatnonzero(spans_mask(start[long], end[long], len(data)) & ((data & 0xC0) != 0x80))
+    stop = np.flatnonzero((data & 0xC0) != 0x80)
+    stop = np.append(stop, len(data))[np.searchsorted(stop, one) + 1]
+    of = np.searchsorted(off, one, side="right") - 1
+    ok = most[of] >= 1
+    hole, after, whose = np.concatenate((hole, one[ok])), np.concatenate((after, stop[ok])), np.concatenate((whose, of[ok]))
+    key = hash_without(data, off[:-1][whose], off[1:][whose], hole, after)
+    return mix(np.concatenate((hash_spans(data, off[:-1], off[1:]), key)) ^ _U(7)), np.concatenate((np.arange(len(text)), whose))
+
+
+def spans_mask(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n places is in one of the spans, which do not overlap."""
+    step = np.zeros(n + 1, np.int8)
+    step[start] += 1
+    np.subtract.at(step, end, 1)
+    return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
 
 
 def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys and their lines; of each line the SimHash and whether it has SMALL features or more."""
     h, size = features(low, start, end, first, stop)
+    if not len(size):
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
     to = np.concatenate(([0], np.cumsum(size)))
-    line = np.repeat(np.arange(len(size)), size)
-    sim = np.zeros(len(size), _U)
     keys, lines = [], []
-    edge = np.ceil(size * SIMILARITY).astype(np.int64)
-    own, near = _classes(size), _classes(edge)
-
-    def of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = size[which]
-        cut = np.concatenate(([0], np.cumsum(n)))
-        return np.repeat(to[which] - cut[:-1], n) + np.arange(cut[-1]), n
-
-    for c in np.unique(np.concatenate((own, near))).tolist():
+    own, near = _classes(size), _classes(np.ceil(size * SIMILARITY).astype(np.int64))
+    for c in range(1, int(own.max()) + 1):
         which = np.flatnonzero((own == c) | (near == c))
-        at, n = of(which)
-        if c:
-            k, l, whole = _block_keys(h[at], n, c)
+        if len(which):
+            n = size[which]
+            cut = np.concatenate(([0], np.cumsum(n)))
+            k, at = _block_keys(h[np.repeat(to[which] - cut[:-1], n) + np.arange(cut[-1])], n, c)
             keys.append(k)
-            lines.append(which[l])
-            sim[which] = whole  # of both classes the same
-        else:
-            total = np.add.reduceat(h[at], np.cumsum(n) - n) if len(n) else np.zeros(0, _U)
-            some = np.repeat(n >= FEW, n)
-            each = np.repeat(total, n)[some] - h[at][some]
-            keys += [mix(total + _U(1)), mix(each + _U(1))]
-            lines += [which, line[at][some]]
-            mine = which[own[which] == 0]
-            if len(mine):
-                at, n = of(mine)
-                sim[mine] = _majority(bit_counts(h[at], n), n)
-    few = np.flatnonzero(size < FEW)
-    if len(few):
-        n = stop[few] - first[few]
-        cut = np.concatenate(([0], np.cumsum(n)))
-        w = np.repeat(first[few] - cut[:-1], n) + np.arange(cut[-1])
-        data, off = text_bytes(joined_words(low, start[w], end[w], np.repeat(np.arange(len(few)), n), len(few)))
-        hole = np.flatnonzero((data & 0xC0) != 0x80)
-        row = np.searchsorted(off, hole, side="right") - 1
-        keys += [mix(hash_spans(data, off[:-1], off[1:]) ^ _U(7)), mix(hash_without(data, off[:-1][row], off[1:][row], hole, np.append(hole[1:], len(data))) ^ _U(7))]
-        lines += [few, few[row]]
-    return (np.concatenate(keys), np.concatenate(lines), sim, size >= SMALL) if keys else (np.zeros(0, _U), np.zeros(0, np.int64), sim, size >= SMALL)
+            lines.append(which[at])
+    few = np.flatnonzero((own == 0) | (near == 0))
+    n = stop[few] - first[few]
+    cut = np.concatenate(([0], np.cumsum(n)))
+    w = np.repeat(first[few] - cut[:-1], n) + np.arange(cut[-1])
+    k, at = _hole_keys(joined_words(low, start[w], end[w], np.repeat(np.arange(len(few)), n), len(few)))
+    return np.concatenate((*keys, k)), np.concatenate((*lines, few[at])), majority(h, size), size >= SMALL
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -239,10 +245,24 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def edit_bound(a: str, b: str, reach: int = 8) -> int:
+    """No less than the Levenshtein distance: the words' places are walked along, what differs is replaced up to the next equal words."""
+    s, t = a.split(" "), b.split(" ")
+    n, m = len(s), len(t)
+    i = j = cost = 0
+    while i < n and j < m:
+        if s[i] == t[j]:
+            i, j = i + 1, j + 1
+            continue
+        x, y = next(((x, k - x) for k in range(1, reach + 1) for x in range(k + 1) if i + x < n and j + k - x < m and s[i + x] == t[j + k - x]), (n - i, m - j))
+        cost += max(sum(map(len, s[i : i + x])) + x, sum(map(len, t[j : j + y])) + y)
+        i, j = i + x, j + y
+    return cost + max(sum(map(len, s[i:])) + n - i, sum(map(len, t[j:])) + m - j)
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
-    longer = max(len(a), len(b))
-    most = int(longer * (1 - similarity) + 1e-9)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    return abs(len(a) - len(b)) <= most and (edit_bound(a, b) <= most or edit_distance(a, b) <= most)
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
