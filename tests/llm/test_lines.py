@@ -179,7 +179,9 @@ def test_edit_distance():
     for _ in range(400):
         a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 80)))
         b = "".join(c for c in a if rng.random() < 0.9) + "".join(rng.choice("abé") for _ in range(rng.randint(0, 9)))
-        assert L.edit_distance(a, b) == levenshtein(a, b) == L.edit_distance(b, a)
+        d = levenshtein(a, b)
+        assert L.edit_distance(a, b) == d == L.edit_distance(b, a)
+        assert all((L.edit_distance(a, b, most) <= most) == (d <= most) for most in range(0, 40, 3))
     for _ in range(400):
         a = [rng.choice(["a", "bb", "abc", "b"]) for _ in range(rng.randint(0, 20))]
         b = [w for w in a if rng.random() < 0.8] + [rng.choice(["a", "c"]) for _ in range(rng.randint(0, 4))]

@@ -213,8 +213,8 @@ def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
     return np.concatenate((*keys, k)), np.concatenate((*lines, few[at])), majority(h, size), size >= SMALL
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance; columns of bits in Python's long integers."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance; columns of bits in Python's long integers. Where it is over `most`, any number over it."""
     n = min(len(a), len(b))
     lo = next((i for i in range(0, n, 64) if a[i : i + 64] != b[i : i + 64]), n)
     lo = next((i for i in range(lo, n) if a[i] != b[i]), n)
@@ -231,7 +231,10 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = full, 0, len(a)
-    for c in b:
+    spare = (len(a) + len(b) if most is None else most) + len(b)
+    for i, c in enumerate(b):
+        if score + i > spare:  # each column left takes off one at most
+            return score + i - len(b)
         eq = where.get(c, 0)
         x = eq | down
         d = ((eq & up) + up ^ up) | x
@@ -262,7 +265,7 @@ def edit_bound(a: str, b: str, reach: int = 8) -> int:
 
 def similar(a: str, b: str, similarity: float) -> bool:
     most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
-    return abs(len(a) - len(b)) <= most and (edit_bound(a, b) <= most or edit_distance(a, b) <= most)
+    return abs(len(a) - len(b)) <= most and (edit_bound(a, b) <= most or edit_distance(a, b, most) <= most)
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -426,16 +429,16 @@ def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, known: DataFrame, on: str, similarity: float) -> DataFrame:
-    """Of the pairs (x, y), values of known's column `on`: those (a, b) of gids whose edit similarity is high enough."""
+    """The pairs (x, y), values of known's column `on`, as gids (a, b), and whether their edit similarity is high enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similar(s, t, similarity) for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("p"), batch.column("q")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch([batch.column("p"), batch.column("q"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     one = known.select(F.col(on).alias("x"), F.col("gid").alias("p"), F.col("line").alias("s"))
     two = known.select(F.col(on).alias("y"), F.col("gid").alias("q"), F.col("line").alias("t"))
-    return pairs.join(one, "x").join(two, "y").select("p", "q", "s", "t").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "x").join(two, "y").select("p", "q", "s", "t").mapInArrow(run, "a long, b long, ok boolean")
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -458,12 +461,14 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = _meet(texts, power_of_two(nodes.count() * 8 / (1 << GROUP_BITS), 3, 16), similarity)
     pairs = materialise(met.filter("y IS NOT NULL").select("x", "y").distinct(), "pairs")
     known = _texts(texts, nodes, pairs)
-    near = materialise(_verify(pairs, known, "a", similarity), "near")
-    of = components(near)
+    tried = materialise(_verify(pairs, known, "a", similarity), "tried")
+    of = components(tried.filter("ok").select("a", "b"))
     some = known.select("gid", "a").join(of.withColumnRenamed("node", "gid"), "gid", "left").select("gid", "a", F.coalesce("component", "gid").alias("component"))
     some = materialise(some, "some")
     members = materialise(met.filter("y IS NULL").select(F.col("x").alias("a"), "key", "sim", "length").join(some, "a"), "members")
-    more = materialise(_verify(_apart(members, similarity), known, "gid", similarity), "more")
+    failed = tried.filter("NOT ok").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    rest = _apart(members, similarity).join(failed, ["x", "y"], "left_anti")
+    more = materialise(_verify(rest, known, "gid", similarity).filter("ok").select("a", "b"), "more")
     if not more.isEmpty():  # components that turn out to be one
         where = some.select("gid", "component")
         ends = more.join(where.withColumnRenamed("component", "p").withColumnRenamed("gid", "a"), "a").join(where.withColumnRenamed("component", "q").withColumnRenamed("gid", "b"), "b")

@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, materialise, slices, text_bytes, trim
 
 
+_held: dict[str, object] = {}
+
+
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    if "out" not in _held:  # one of each for a worker; they take longer to make than a small blob to compress
+        _held["out"] = zstandard.ZstdCompressor(level=1)
+    return _held["out"].compress(data)
 
 
 def swell(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
+    if "in" not in _held:
+        _held["in"] = zstandard.ZstdDecompressor()
+    return _held["in"].decompress(blob)
 
 
 def planes(values: np.ndarray) -> bytes:
