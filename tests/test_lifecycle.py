@@ -7,7 +7,7 @@ from vecloom.operators import encoder as E
 from vecloom.plans import cli, maintain, options, search
 from vecloom.sources import descriptor, jsonl
 from vecloom.sources.graph import Graph
-from vecloom.sources.store import Served, Store
+from vecloom.sources.store import Conflict, Served, Store
 from vecloom.streaming import tombstones
 
 D = descriptor.Descriptor(32, "mean", 2, "query: ", 16, "hash")
@@ -65,6 +65,126 @@ def test_cancel(spark, tmp_path):
     assert store.embeddings().isEmpty()
 
 
+def many(spark, n):
+    return graph(spark, [(i, "function", f"text {i}") for i in range(n)])
+
+
+def test_cancel_half_way_keeps_what_is_stored(spark, tmp_path):
+    store, g = Store(spark, str(tmp_path / "store")), many(spark, 40)
+    done = maintain.reindex(store, g, "m", D, cancelled=lambda: bool(store.view().deltas), chunk_rows=10)
+    have = store.embeddings().count()
+    assert done.state == "cancelled" and 0 < have < 40 and store.current("index-m-code") is None
+    assert not list((tmp_path / "store" / "parked").iterdir())
+    again = maintain.reindex(store, g, "m", D, chunk_rows=10)
+    assert (again.state, again.pending) == ("rebuilt", 40 - have) and store.read("index-m-code").count() == 40
+
+
+def test_a_run_that_dies_half_way(spark, tmp_path, monkeypatch):
+    store, g = Store(spark, str(tmp_path / "store")), many(spark, 40)
+    put, calls = Store.put_embeddings, []
+
+    def dies(self, new, replace=True):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("gone")
+        return put(self, new, replace)
+
+    monkeypatch.setattr(Store, "put_embeddings", dies)
+    with pytest.raises(OSError):
+        maintain.reindex(store, g, "m", D, chunk_rows=10)
+    have = store.embeddings().count()
+    assert 0 < have < 40 and maintain.reindex(store, g, "m", D).pending == 40 - have
+
+
+def test_workers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    g = many(spark, 60)
+    with ThreadPoolExecutor(3) as pool:
+        work = [pool.submit(maintain.reindex, Store(spark, str(tmp_path / "store")), g, "m", D, None, None, (i, 3), chunk_rows=10) for i in range(3)]
+        assert {w.result().state for w in work} == {"worker done"}
+    store = Store(spark, str(tmp_path / "store"))
+    assert sorted(r.node_id for r in store.embeddings().collect()) == list(range(60))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: Store(spark, str(tmp_path / "store")).put(f"k{i}", str(i)), range(4)))
+    assert [store.get(f"k{i}") for i in range(4)] == ["0", "1", "2", "3"]
+
+
+def test_what_was_dealt_with_is_not_looked_at_again(spark, tmp_path):
+    store, g = Store(spark, str(tmp_path / "store")), graph(spark, TEXTS)
+    maintain.reindex(store, g, "m", D)
+    nodes = graph(spark, [(i, k, None if i == 4 else t) for i, k, t in TEXTS]).nodes
+    log = [(2, 5), (4, 5), (99, 5), (2, 4)]
+    run = lambda rows: maintain.refresh(store, Graph(nodes, g.edges, spark.createDataFrame(rows, schema.TOMBSTONES), g.embeddings))
+    report, left = run(log)
+    assert (report["unchanged"], report["deferred"]) == (1, 1) and [r.node_id for r in left.collect()] == [4]
+    report, left = run(log)
+    assert (report["unchanged"], report["deferred"]) == (0, 1)
+    assert run([*log, (2, 6)])[0]["unchanged"] == 1
+
+
+def test_nodes_that_cannot_be_read(spark, tmp_path):
+    store, g = Store(spark, str(tmp_path / "store")), many(spark, 3)
+    loose = spark.createDataFrame([], schema.NODES.fromJson({**schema.NODES.jsonValue(), "fields": [{**f, "nullable": True} for f in schema.NODES.jsonValue()["fields"]]}))
+    bad = g.nodes.withColumn("kind", F.lit(None).cast("string"))
+    assert maintain.reindex(store, Graph(loose.unionByName(g.nodes).unionByName(bad), g.edges, g.tombstones, g.embeddings), "m", D).skipped == 3
+    with pytest.raises(ValueError, match="none of 3"):
+        maintain.reindex(store, Graph(bad, g.edges, g.tombstones, g.embeddings), "m", D)
+
+
+def test_another_backend_is_told(spark, tmp_path):
+    store, g = Store(spark, str(tmp_path / "store")), many(spark, 2)
+    store.record_backend("m other")
+    with pytest.warns(UserWarning, match="made by m other"):
+        maintain.reindex(store, g, "m", D)
+
+
+def test_damaged_snapshots_are_kept_aside(spark, tmp_path):
+    now = [0.0]
+    store = Store(spark, str(tmp_path / "store"))
+    served = Served(store, "t", lambda: now[0])
+    store.publish(spark.range(5), "t")
+    assert served.get().count() == 5
+    v = store.publish(spark.range(6), "t")
+    next((tmp_path / "store/t" / v).glob("part-*")).unlink()
+    now[0] = 9.0
+    assert store.current("t") is None and served.get().count() == 5
+    assert v in store.sweep("t") and (tmp_path / "store/t/_quarantine" / v).is_dir()
+    store.publish(spark.range(7), "t")
+    assert store.read("t").count() == 7
+
+
+def test_deltas_count_in_order(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    row = lambda i, h: spark.createDataFrame([(i, "m", [1.0], h)], schema.EMBEDDINGS)
+    for i, h, replace in ((1, "a", False), (1, "b", False), (2, "a", True), (2, "b", False), (3, "a", False), (3, "b", True), (3, "c", True)):
+        store.put_embeddings(row(i, h), replace)
+    want = {1: "a", 2: "a", 3: "c"}
+    got = lambda: {r.node_id: r.text_hash for r in store.embeddings().collect()}
+    assert got() == want
+    view = store.view()
+    store.put_embeddings(row(4, "late"))
+    store.replace_embeddings(view.frame, view)
+    assert got() == want | {4: "late"} and len(store.view().deltas) == 1
+    with pytest.raises(Conflict):
+        store.replace_embeddings(view.frame, view)
+    store.compact()
+    store.compact()
+    assert got() == want | {4: "late"} and not store.view().deltas
+    store.sweep("node_embeddings")
+    store.put_embeddings(row(1, "z"))
+    assert got() == want | {4: "late", 1: "z"}
+
+
+def test_the_memo_is_traced(spark, tmp_path):
+    store, g = Store(spark, str(tmp_path / "store")), graph(spark, TEXTS)
+    maintain.reindex(store, g, "m", D)
+    s = search.Searcher(store, g, "m", D, trace=str(tmp_path / "memo.tsv"))
+    for _ in range(2):
+        s.knn("about trees", 1, "docs")
+    assert (tmp_path / "memo.tsv").read_text() == "QUERY_EMBED_CACHE\tdocs\tmiss\tabout trees\nQUERY_EMBED_CACHE\tdocs\thit\tabout trees\n"
+
+
 def test_snapshots(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.read("t") is None and store.sweep("t") == []

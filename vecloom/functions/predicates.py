@@ -54,3 +54,8 @@ def in_tests(path: Column) -> Column:
 
 def hash_differs(have: Column, want: Column) -> Column:
     return have.isNull() | (have != want)
+
+
+def decodable() -> Column:
+    """Rows of nodes that can be worked with: those with an id and a kind."""
+    return F.col("id").isNotNull() & F.col("kind").isNotNull()

@@ -58,3 +58,18 @@ def invalidate(
     waiting = checked.filter(some & ~text).select("node_id")
     left = tombstones.join(waiting, "node_id", "left_semi") if ack else tombstones
     return Invalidation(fates.filter("fate = 'keep'").drop("fate"), left, report, fates)
+
+
+def unacknowledged(log: DataFrame, acked: DataFrame) -> DataFrame:
+    """Entries of the log (node_id, deleted_at) that are later than those of their node that were dealt with.
+
+    acked: node_id, deleted_at, once a node. An entry without a time is never taken as dealt with.
+    """
+    before = acked.select("node_id", F.col("deleted_at").alias("until"))
+    return log.join(before, "node_id", "left").filter(F.col("until").isNull() | F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("until"))).drop("until")
+
+
+def acknowledged(log: DataFrame, left: DataFrame) -> DataFrame:
+    """What was dealt with after a run over the whole log that has left `left`: the last time of each node that doesn't wait."""
+    done = log.join(left.select("node_id").distinct(), "node_id", "left_anti")
+    return done.groupBy("node_id").agg(F.max("deleted_at").alias("deleted_at")).filter("deleted_at IS NOT NULL")

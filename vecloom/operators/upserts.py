@@ -10,6 +10,19 @@ from ..functions.predicates import hash_differs
 KEY = ["node_id", "model_id"]
 
 
+def fold(old: DataFrame, new: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """All of many writes in one step. `at` of a new row is its write's time, negative where it only adds what is not there.
+
+    Of a key's rows the latest that replaces wins, else the old one, else the earliest that adds. Ties go by the other columns.
+    """
+    key = key or KEY
+    rest = [c for c in old.columns if c not in key]
+    one = new.groupBy(*key).agg(F.max(F.struct("at", *sorted(rest, reverse=True))).alias("won"))
+    won = one.select(*key, "won.at", *(F.col(f"won.{c}").alias(c) for c in rest))
+    put, add = won.filter("at >= 0").drop("at"), won.filter("at < 0").drop("at")
+    return old.join(put.select(*key), key, "left_anti").unionByName(put).unionByName(add.join(old.select(*key), key, "left_anti"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str] | None = None) -> DataFrame:
     """New rows win."""
     return new.unionByName(old.join(new.select(*(key or KEY)).distinct(), key or KEY, "left_anti"), allowMissingColumns=True)

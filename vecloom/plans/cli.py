@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -44,7 +45,7 @@ def main(args: list[str] | None = None) -> int:
             done = maintain.reindex(store, g, o.model_id, d, str(folder), o.phase, o.shard, o.rows, o.parallel or 1, lambda: bool(stop and stop.exists()), o.rebuild_on_cancel)
             print(json.dumps({"state": done.state, "pending": done.pending, "report": done.report}))
         else:
-            s = search.Searcher(store, g, o.model_id, d, str(folder))
+            s = search.Searcher(store, g, o.model_id, d, str(folder), os.environ.get("VECLOOM_MEMO_TRACE"))
             for line in sys.stdin:
                 ask = json.loads(line)
                 print(json.dumps(s.answer(ask["query_text"], int(ask["k"]), ask.get("space", "code"))), flush=True)

@@ -40,11 +40,23 @@ class Memo:
         return self.held[1]
 
 
+def appender(path: str) -> Callable[[str], None]:
+    """Appends lines to a file; opened for each, so that it may be moved away meanwhile."""
+
+    def append(line: str) -> None:
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(line.replace("\n", " ") + "\n")
+
+    return append
+
+
 class Searcher:
-    def __init__(self, store: Store, g: Graph, model_id: str, d: Descriptor, folder: str | None = None):
+    """trace: a file to which each query's fate in the memo is appended."""
+
+    def __init__(self, store: Store, g: Graph, model_id: str, d: Descriptor, folder: str | None = None, trace: str | None = None):
         self.store, self.g, self.model_id, self.d, self.folder = store, g, model_id, d, folder
         self.encoder = encoder.worker_encoder(folder, d)
-        self.memo = Memo(lambda t: self.encoder.embed_query(t).tolist())
+        self.memo = Memo(lambda t: self.encoder.embed_query(t).tolist(), trace=appender(trace) if trace else None)
         self.spaces = {s: Served(store, f"index-{model_id}-{s}") for s in ("code", "docs")}
 
     def knn(self, text: str, k: int, space: str = "code") -> list[tuple[int, float]]:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import hashing
 from ..operators import freshness
 from ..schema import TOMBSTONES
-from ..sources.store import Store
+from ..sources.store import TRIES, VECTORS, Conflict, Store
 
 
 def read_log(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -29,10 +29,19 @@ def follow(log: DataFrame, store: Store, nodes: Callable[[], DataFrame], checkpo
     def batch(entries: DataFrame, number: int) -> None:
         waiting = store.read("waiting")
         entries = entries if waiting is None else entries.unionByName(waiting)
-        done = freshness.invalidate(nodes(), store.embeddings(), entries, hash_fn=hash_fn, verify_docs=verify_docs)
-        if done.report.first().removed_any:
-            store.publish(done.embeddings, "node_embeddings", ("model_id",))
-        store.publish(done.tombstones.distinct(), "waiting")
+        for _ in range(TRIES):
+            view = store.view()
+            done = freshness.invalidate(nodes(), view.frame, entries, hash_fn=hash_fn, verify_docs=verify_docs)
+            try:
+                if done.report.first().removed_any:
+                    store.replace_embeddings(done.embeddings, view)
+            except Conflict:
+                continue
+            store.publish(done.tombstones.distinct(), "waiting")
+            for name in (VECTORS, "waiting"):
+                store.sweep(name)
+            return
+        raise Conflict(VECTORS)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
