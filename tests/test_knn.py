@@ -58,3 +58,28 @@ def test_candidates_by_text(spark):
     assert [r.node_id for r in got] == [2, 1] and got[0].rank == 1
     assert fts.candidates(nodes, "a b").isEmpty()
     assert fts.candidates(nodes.limit(0), "parse_tree").isEmpty()
+
+
+def test_ties_at_the_edge_go_by_node():
+    rng = np.random.default_rng(1)
+    for k in (1, 3, 7, 50):
+        d, node = rng.integers(0, 4, (20, 40)).astype(float), np.argsort(rng.random((20, 40)), axis=1)
+        got_d, got = knn._best(d, node, k)
+        want = np.lexsort((node, d), axis=1)[:, :k]
+        order = np.lexsort((got, got_d), axis=1)
+        assert (np.take_along_axis(got, order, 1) == np.take_along_axis(node, want, 1)).all()
+
+
+def test_blocks_of_queries_and_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, embedding array<float>")
+    queries = vectors.limit(25).withColumnRenamed("node_id", "query_id")
+    rows = lambda df: sorted((r.query_id, r.rank, r.node_id) for r in df.collect())
+    index = knn.InvertedFile.fit(vectors, cells=4)
+    whole, cells = rows(knn.exact(queries, vectors, 5)), rows(index.search(queries, index.assign(vectors), 5, 4))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "VECTOR_BLOCK", 11)
+    assert rows(knn.exact(queries, vectors, 5)) == whole == cells == rows(index.search(queries, index.assign(vectors), 5, 4))
+    none = queries.filter("false")
+    assert knn.exact(none, vectors, 5).isEmpty() and index.search(none, index.assign(vectors), 5).isEmpty()

@@ -14,6 +14,8 @@ from ..functions.predicates import in_space
 
 #: Queries that are sent to the executors as one matrix; more are answered in turns.
 QUERY_BLOCK = 4096
+#: Vectors that are scored at once.
+VECTOR_BLOCK = 1024
 
 
 def space_vectors(nodes: DataFrame, embeddings: DataFrame, model_id: str, space: str) -> DataFrame:
@@ -34,21 +36,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _best(d: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k least distances and their nodes; ties go by node. Not in order."""
+    if d.shape[1] <= k:
+        return d, node
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    sure, tied = d < edge, d == edge
+    room = k - sure.sum(1)
+    for i in np.flatnonzero(tied.sum(1) > room):
+        at = np.flatnonzero(tied[i])
+        tied[i] = False
+        tied[i, at[np.argsort(node[i, at], kind="stable")[: room[i]]]] = True
+    take = np.nonzero(sure | tied)
+    return d[take].reshape(len(d), k), node[take].reshape(len(d), k)
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of QUERY_BLOCK queries at a time; one empty block where there are none."""
+    block, any_yet = [], False
+    for row in queries.select("query_id", "embedding").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            yield np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
+            block, any_yet = [], True
+    if block or not any_yet:
+        yield np.array([r[0] for r in block], np.int64), (np.array([r[1] for r in block], np.float64) if block else np.zeros((0, 0)))
+
+
+def _all(parts: Iterator[DataFrame]) -> DataFrame:
+    out = next(parts)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def _score(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """Each task keeps k rows a query from each batch of vectors, so what is shuffled doesn't grow with their number."""
+    """Each task keeps k rows a query, so what is shuffled doesn't grow with the number of vectors."""
     shared = rows.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         best_d, best_id = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column("node_id").to_numpy()
-            d = np.round(1 - q @ _matrix(batch.column("embedding")).T, 6)
-            d, node = np.concatenate((best_d, d), 1), np.concatenate((best_id, np.tile(node, (len(q), 1))), 1)
-            order = np.lexsort((node, d), axis=1)[:, :k]
-            best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(node, order, 1)
+        for batch in batches if len(q) else ():
+            for i in range(0, batch.num_rows, VECTOR_BLOCK):
+                part = batch.slice(i, VECTOR_BLOCK)
+                d = np.round(1 - q @ _matrix(part.column("embedding")).T, 6)
+                node = np.broadcast_to(part.column("node_id").to_numpy(), d.shape)
+                d, node = _best(d, node, k)
+                best_d, best_id = _best(np.concatenate((best_d, d), 1), np.concatenate((best_id, node), 1), k)
         n = best_d.shape[1]
         yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best_d.ravel())], names=["query_id", "node_id", "distance"])
 
@@ -57,15 +92,7 @@ def _score(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame
 
 def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, node_id, distance, similarity, rank. Queries (query_id, embedding) are taken to the driver block by block."""
-    out, block = None, []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part = _score(vectors, np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64), k)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = _score(vectors, np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64).reshape(len(block), -1), k)
-        out = part if out is None else out.unionByName(part)
+    out = _all(_score(vectors, ids, q, k) for ids, q in _blocks(queries))
     return top(out, k).select("query_id", "node_id", "distance", V.similarity(F.col("distance")).alias("similarity"), "rank")
 
 
@@ -113,27 +140,32 @@ class InvertedFile:
     def search(self, queries: DataFrame, indexed: DataFrame, k: int, probe: int | None = None) -> DataFrame:
         """As exact(), over the probed cells, five eighths of all by default. Each vector meets only the queries that probe its cell."""
         probe = probe or -(-len(self.centroids) * 5 // 8)
-        rows = queries.select("query_id", "embedding").collect()  # a block of queries, as in exact()
-        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        near = np.argsort(-(q @ self.centroids.T), axis=1)[:, :probe]
+        found = _all(self._probed(ids, q, indexed, k, probe) for ids, q in _blocks(queries))
+        return top(found, k).select("query_id", "node_id", "distance", V.similarity(F.col("distance")).alias("similarity"), "rank")
+
+    def _probed(self, ids: np.ndarray, q: np.ndarray, indexed: DataFrame, k: int, probe: int) -> DataFrame:
+        near = np.argsort(-(q @ self.centroids.T), axis=1)[:, :probe] if len(q) else np.zeros((0, probe), np.int64)
         by_cell = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q, by_cell))
+        shared = indexed.sparkSession.sparkContext.broadcast((ids, q, by_cell))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, by_cell = shared.value
-            for b in batches:
-                cell, node = b.column("cell").to_numpy(), b.column("node_id").to_numpy()
-                x = _matrix(b.column("embedding")) if b.num_rows else None
-                for c in np.unique(cell):
-                    mine, ask = np.flatnonzero(cell == c), by_cell[int(c)]
-                    d = np.round(1 - q[ask] @ x[mine].T, 6)
-                    order = np.lexsort((np.tile(node[mine], (len(ask), 1)), d), axis=1)[:, :k]
-                    yield pa.record_batch(
-                        [pa.array(np.repeat(ids[ask], order.shape[1])), pa.array(node[mine][order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], names=["query_id", "node_id", "distance"]
-                    )
-
-        found = indexed.filter(F.col("cell").isin(*by_cell)).mapInArrow(run, "query_id long, node_id long, distance double")
-        return top(found, k).select("query_id", "node_id", "distance", V.similarity(F.col("distance")).alias("similarity"), "rank")
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # k rows a query and cell in a task
+            for whole in batches:
+                for i in range(0, whole.num_rows, VECTOR_BLOCK):
+                    b = whole.slice(i, VECTOR_BLOCK)
+                    cell, node, x = b.column("cell").to_numpy(), b.column("node_id").to_numpy(), _matrix(b.column("embedding"))
+                    for c in np.unique(cell).tolist():
+                        mine, ask = np.flatnonzero(cell == c), by_cell[c]
+                        d = np.round(1 - q[ask] @ x[mine].T, 6)
+                        d, n = _best(d, np.broadcast_to(node[mine], d.shape), k)
+                        if c in held:
+                            d, n = _best(np.concatenate((held[c][0], d), 1), np.concatenate((held[c][1], n), 1), k)
+                        held[c] = d, n
+            for c, (d, n) in held.items():
+                yield pa.record_batch([pa.array(np.repeat(ids[by_cell[c]], d.shape[1])), pa.array(n.ravel()), pa.array(d.ravel())], names=["query_id", "node_id", "distance"])
+
+        return indexed.filter(F.col("cell").isin(*by_cell)).mapInArrow(run, "query_id long, node_id long, distance double")
 
 
 def merge(found: DataFrame, lazy: DataFrame, k: int) -> DataFrame:
