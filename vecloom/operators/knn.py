@@ -80,7 +80,7 @@ def _score(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame
         for batch in batches if len(q) else ():
             for i in range(0, batch.num_rows, VECTOR_BLOCK):
                 part = batch.slice(i, VECTOR_BLOCK)
-                d = np.round(1 - q @ _matrix(part.column("embedding")).T, 6)
+                d = np.round(1 - q @ _matrix(part.column("embedding")).T, 6) + 0.0  # no negative zero
                 node = np.broadcast_to(part.column("node_id").to_numpy(), d.shape)
                 d, node = _best(d, node, k)
                 best_d, best_id = _best(np.concatenate((best_d, d), 1), np.concatenate((best_id, node), 1), k)
@@ -157,7 +157,7 @@ class InvertedFile:
                     cell, node, x = b.column("cell").to_numpy(), b.column("node_id").to_numpy(), _matrix(b.column("embedding"))
                     for c in np.unique(cell).tolist():
                         mine, ask = np.flatnonzero(cell == c), by_cell[c]
-                        d = np.round(1 - q[ask] @ x[mine].T, 6)
+                        d = np.round(1 - q[ask] @ x[mine].T, 6) + 0.0  # no negative zero
                         d, n = _best(d, np.broadcast_to(node[mine], d.shape), k)
                         if c in held:
                             d, n = _best(np.concatenate((held[c][0], d), 1), np.concatenate((held[c][1], n), 1), k)

@@ -5,8 +5,10 @@ The hash is md5 here, which SQL has too; production uses functions.hashing.text_
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from .operators.numbering import numbered
 from .schema import DOC_KIND, EMBEDDINGS, STRUCTURAL_KINDS, migrate
 from .sources.descriptor import Descriptor
 from .sources.graph import WITH, Graph, derived
+from .sources.jsonl import parsed_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODEL = "m1"
@@ -218,6 +221,13 @@ def tombstones_waiting(g: Graph) -> DataFrame:
     return _invalidated(g).tombstones.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"{_INVALID} SELECT t.node_id, count(*) AS n FROM node_tombstones t JOIN checked c ON c.id = t.node_id WHERE c.vectors > 0 AND c.digest IS NULL GROUP BY t.node_id")
+def tombstones_after_reindex(g: Graph) -> DataFrame:
+    """What the next run still finds in the log, once this one's dealt-with entries are stored."""
+    acked = freshness.acknowledged(g.tombstones, _invalidated(g).tombstones)
+    return freshness.unacknowledged(g.tombstones, acked).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT node_id, count(*) AS n FROM node_tombstones GROUP BY node_id")
 def tombstones_without_ack(g: Graph) -> DataFrame:
     return _invalidated(g, ack=False).tombstones.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
@@ -285,6 +295,21 @@ def insert_ignore(g: Graph) -> DataFrame:
     return upserts.insert_ignore(g.embeddings, _fresh(g)).select("node_id", "model_id", "text_hash")
 
 
+@query(
+    f""", {_NEW}, writes AS (SELECT node_id, model_id, text_hash, 10 AS written FROM new UNION ALL SELECT node_id, model_id, 'later', 20 FROM new WHERE node_id % 3 = 0
+    UNION ALL SELECT node_id + 1, model_id, 'added', -15 FROM new UNION ALL SELECT node_id + 1, model_id, 'added first', -5 FROM new WHERE node_id % 5 = 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY node_id, model_id ORDER BY written DESC) AS k FROM (
+    SELECT * FROM writes UNION ALL SELECT node_id, model_id, text_hash, 0 FROM node_embeddings)) SELECT node_id, model_id, text_hash FROM ranked WHERE k = 1"""
+)
+def folded_writes(g: Graph) -> DataFrame:
+    """Writes at 10 and 20 that replace, and at 5 and 15 that only add."""
+    new = _fresh(g)
+    add = new.withColumn("node_id", F.col("node_id") + 1)
+    writes = [(new, None, 10), (new.filter("node_id % 3 = 0"), "later", 20), (add, "added", -15), (add.filter("(node_id - 1) % 5 = 0"), "added first", -5)]
+    parts = [(df if name is None else df.withColumn("text_hash", F.lit(name))).withColumn("at", F.lit(at)) for df, name, at in writes]
+    return upserts.fold(g.embeddings, parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])).select("node_id", "model_id", "text_hash")
+
+
 @query("SELECT node_id, model_id, CAST(NULL AS VARCHAR) AS text_hash FROM node_embeddings WHERE model_id = 'm2'")
 def migrate_legacy(g: Graph) -> DataFrame:
     return migrate(g.embeddings.filter("model_id = 'm2'").drop("text_hash"), EMBEDDINGS).select("node_id", "model_id", "text_hash")
@@ -407,6 +432,47 @@ def schema_check(g: Graph) -> DataFrame:
     return found.agg(F.lit("node_embeddings").alias("name"), F.count(F.lit(1)).alias("columns"), F.bool_or(F.col("col_name") == "text_hash").alias("has_text_hash"))
 
 
+@query("SELECT count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS skipped FROM (SELECT id % 17 = 0 OR id % 19 = 0 AS bad FROM nodes)")
+def readable_nodes(g: Graph) -> DataFrame:
+    """Nodes, some of them without id or kind, that a reindex can work with, and the others."""
+    broken = g.nodes.select(F.when(F.col("id") % 17 != 0, F.col("id")).alias("id"), F.when(F.col("id") % 19 != 0, F.col("kind")).alias("kind"))
+    return broken.agg(F.count_if(P.decodable()).alias("good"), F.count_if(~P.decodable()).alias("skipped"))
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id, md5(signature) AS text_md5 FROM nodes")
+def json_lines(g: Graph) -> DataFrame:
+    lines = g.nodes.select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("signature").alias("text"), "kind")).alias("value"))
+    return parsed_lines(lines.unionByName(lines.limit(3).select(F.lit("  ").alias("value")))).select("id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    """SELECT node_id, model_id, len(embedding) AS n, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS squares, round(embedding[1]::DOUBLE, 6) AS cls,
+  round((embedding[1]::DOUBLE + (node_id % 2) * embedding[17]::DOUBLE) / (1 + node_id % 2), 6) AS mean FROM (SELECT node_id, model_id, embedding FROM node_embeddings)"""
+)
+def packed_and_pooled_vectors(g: Graph) -> DataFrame:
+    """Vectors as bytes and back (with a byte too many), and pooled: as two tokens of 16 values each, the second one masked for even ids."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            back = [V.unpacked(V.packed(v) + b"x") for v in pdf["embedding"]]
+            hidden = np.array([v[:32] for v in back], np.float64).reshape(len(back), 2, 16)
+            mask = np.stack((np.ones(len(pdf)), pdf["node_id"] % 2), 1)
+            cls, mean = (V.pooled(hidden, mask, p)[:, 0].round(6) for p in ("cls", "mean"))
+            squares = [round(float(np.dot(v.astype(np.float64), v)), 6) for v in back]
+            yield pd.DataFrame({"node_id": pdf["node_id"], "model_id": pdf["model_id"], "n": [len(v) for v in back], "squares": squares, "cls": cls, "mean": mean})
+
+    return g.embeddings.select("node_id", "model_id", "embedding").mapInPandas(run, "node_id long, model_id string, n long, squares double, cls double, mean double")
+
+
+@query(
+    """SELECT parallel, single, override, CAST(CASE WHEN override >= 0 THEN greatest(override, 512) ELSE least(greatest(8192 // (CASE WHEN single THEN 1 ELSE greatest(parallel, 1) END), 1024), 4096) END AS BIGINT) AS budget
+  FROM (SELECT CAST(i % 12 AS BIGINT) AS parallel, i % 2 = 0 AS single, CAST(CASE WHEN i % 5 = 0 THEN i * 40 ELSE -1 END AS BIGINT) AS override FROM range(60) t(i))"""
+)
+def token_budgets(g: Graph) -> DataFrame:
+    asked = [(i % 12, i % 2 == 0, i * 40 if i % 5 == 0 else -1) for i in range(60)]
+    return g.nodes.sparkSession.createDataFrame([(p, s, o, batching.token_budget(p, s, o if o >= 0 else None)) for p, s, o in asked], "parallel long, single boolean, override long, budget long")
+
+
 @query()
 def fnv_hashes(g: Graph) -> DataFrame:
     return g.nodes.select("id", hashing.text_hash(F.col("embed_text")).alias("text_hash"))

@@ -28,7 +28,12 @@ def string_field(line: str | None, key: str) -> str | None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """place, id, text. Blank lines are passed over; a line without both fields fails the job."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("place", F.monotonically_increasing_id())
+    return parsed_lines(spark.read.text(path))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """The same of lines (value)."""
+    lines = lines.filter(F.trim("value") != "").withColumn("place", F.monotonically_increasing_id())
     parsed = lines.select("place", F.from_json("value", "id string, text string").alias("x"), "value")
     whole = F.col("x.id").isNotNull() & F.col("x.text").isNotNull()
     checked = F.when(whole, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("a line lacks id or text: "), F.substring("value", 1, 80))).cast("struct<id:string,text:string>"))
