@@ -111,3 +111,11 @@ def test_keep_one(odd):
 def test_all_rows_equal(spark):
     df = spark.createDataFrame([(7, "same words here now")] * 5, "doc_id long, text string")
     assert [tuple(r) for r in S.keep_one(df).collect()] == [(7, "same words here now")]
+
+
+def test_clashing_names_and_equal_rows(spark):
+    text = "some words that are the same in all of these rows"
+    rows = [(1, text, 5, True, 2), (1, text, 6, False, 1), (2, text, 7, True, 0), (3, "quite another line of words, with nothing in common", 8, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key long, __HIT boolean, other long")
+    got = {tuple(r) for n in (1, 4) for r in S.keep_one(docs.repartition(n)).collect()}
+    assert len(got) == 2 and {r[0] for r in got} == {1, 3} and got <= set(rows)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecloom-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -67,8 +70,10 @@ def release(first: int, last: int, used_by: DataFrame | None = None) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    jvm, live = SparkContext._jvm, spark.sparkContext._jsc
+    conf = live.hadoopConfiguration() if live else jvm.org.apache.hadoop.conf.Configuration()  # the session may have ended
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 @atexit.register
@@ -76,8 +81,8 @@ def _sweep() -> None:
     for spark, path in filter(None, _folders):
         try:
             _delete(spark, path)
-        except Exception:  # the session has ended; the cluster's own sweeping of the folder remains
-            return
+        except Exception:  # one that can't be deleted doesn't keep the others
+            continue
 
 
 def join_hot(rows: DataFrame, one: DataFrame, on: list[str], n: str, most: int = 1 << 15) -> DataFrame:

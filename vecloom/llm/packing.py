@@ -139,15 +139,18 @@ def set_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _marked(docs: DataFrame, key: Column, listed: DataFrame, most_bits: int) -> tuple[DataFrame, DataFrame]:
-    """docs with `__key` (a hash of key) and `__hit`, true where a bitmap of bounded size over `listed` has it; listed as `__key`."""
+def _marked(docs: DataFrame, key: Column, listed: DataFrame, most_bits: int) -> tuple[DataFrame, DataFrame, str, str]:
+    """docs with two more columns: a hash of key, and whether a bitmap of bounded size over `listed` has it; listed as such a hash; the columns' names."""
+    taken, n_key, n_hit = {c.lower() for c in docs.columns}, "__key", "__hit"
+    while taken & {n_key, n_hit}:
+        n_key, n_hit = f"_{n_key}", f"_{n_hit}"
     name = listed.columns[0]
     n = listed.count()
     bits = int(np.ceil(np.log2(min(1 << most_bits, max(1 << 16, 32 * n)))))
-    hashed = listed.select(F.xxhash64(name).alias("__key"))
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(hashed.select(F.col("__key").alias("a")), bits))
+    hashed = listed.select(F.xxhash64(name).alias(n_key))
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(hashed.select(F.col(n_key).alias("a")), bits))
     width = len(docs.columns)
-    names = [*docs.columns, "__key", "__hit"]
+    names = [*docs.columns, n_key, n_hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +158,7 @@ def _marked(docs: DataFrame, key: Column, listed: DataFrame, most_bits: int) ->
             yield pa.record_batch([*batch.columns, pa.array(set_in(seen.value, h))], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__key", F.xxhash64(key)).mapInArrow(run, f"{fields}, __key long, __hit boolean"), hashed
+    return docs.withColumn(n_key, F.xxhash64(key)).mapInArrow(run, f"{fields}, {n_key} long, {n_hit} boolean"), hashed, n_key, n_hit
 
 
 def without(docs: DataFrame, key: Column, gone: DataFrame, most_bits: int = 27) -> DataFrame:
@@ -163,12 +166,12 @@ def without(docs: DataFrame, key: Column, gone: DataFrame, most_bits: int = 27)
 
     The bitmap passes most rows that stay at once; only the others are joined.
     """
-    rows, hashed = _marked(docs, key, gone, most_bits)
-    left = rows.filter("NOT __hit").drop("__key", "__hit")
-    return left.unionByName(rows.filter("__hit").join(hashed, "__key", "left_anti").drop("__key", "__hit"))
+    rows, hashed, n_key, hit = _marked(docs, key, gone, most_bits)
+    left = rows.filter(~F.col(hit)).drop(n_key, hit)
+    return left.unionByName(rows.filter(F.col(hit)).join(hashed, n_key, "left_anti").drop(n_key, hit))
 
 
 def only(docs: DataFrame, key: Column, wanted: DataFrame, most_bits: int = 27) -> DataFrame:
     """The rows of docs whose `key` (long) is in `wanted`; of the others, only the few that the bitmap takes for them are shuffled."""
-    rows, hashed = _marked(docs, key, wanted, most_bits)
-    return rows.filter("__hit").join(hashed.hint("merge"), "__key", "left_semi").drop("__key", "__hit")
+    rows, hashed, n_key, hit = _marked(docs, key, wanted, most_bits)
+    return rows.filter(F.col(hit)).join(hashed.hint("merge"), n_key, "left_semi").drop(n_key, hit)

@@ -226,7 +226,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Of each group of near-duplicates the row with the least doc_id (nulls last; then by a hash of the text)."""
+    """Of each group of near-duplicates the row with the least doc_id (nulls last; then by a hash of the text).
+
+    Of rows equal in both, the one whose other columns have the least hash.
+    """
     row = F.xxhash64("doc_id", "text")
     fps = materialise(fingerprints(docs.select("doc_id", "text", row.alias("row")), shingle, ("doc_id", "row")), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
@@ -239,5 +242,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     left = without(docs, row, gone)
     if twice.isEmpty():
         return left
-    again = left.join(twice, row == twice["row"], "left_semi").dropDuplicates(["doc_id", "text"])
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    same = left.join(twice, row == twice["row"], "left_semi").select("doc_id", "text", every.alias("all"))
+    again = same.groupBy("doc_id", "text").agg(F.min_by("all", F.xxhash64(F.to_json("all"))).alias("all")).select("all.*")
     return without(left, row, twice).unionByName(again)
