@@ -49,8 +49,10 @@ LONG = 24
 PIECE = 8
 #: Most bits of the bitmap that finds the candidates' texts, keys of a group, and lines numbered at once, as powers of two.
 BITMAP_BITS = 27
-GROUP_BITS = 19
+GROUP_BITS = 18
 LINE_BITS = 20
+#: Bits of a feature.
+VALUE_BITS = 44
 
 _LAST = np.iinfo(np.int64).max
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -58,6 +60,8 @@ _FOLD[ord("0") : ord("9") + 1] = ord("0")
 _WORD = np.zeros(256, bool)
 _WORD[[ord("0"), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _U = np.uint64
+#: Fixed values of XXH64.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
 def split_lines(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,29 +106,31 @@ def normalised(data: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[
     return low, start, end, line, np.searchsorted(line, np.arange(len(edges)))
 
 
-def features(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the different features of each line (words first to stop, one at least), by line, and how many there are."""
+def features(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of each line (words first to stop, one at least), as sorted numbers of VALUE_BITS, by line, and how many there are.
+
+    h: the words' hashes, whose upper bits are those of a word's feature.
+    """
     n = end - start
     pieces = np.where(n > LONG, -(-n // PIECE), 1)
     at = np.concatenate(([0], np.cumsum(pieces)))
-    own = np.repeat(np.arange(len(n)), pieces)
-    nth = np.arange(at[-1]) - at[own]
-    a = start[own] + nth * PIECE
-    b = np.where(pieces[own] > 1, np.minimum(a + PIECE, end[own]), end[own])
-    h = mix(hash_spans(low, a, b))
+    if at[-1] > len(n):
+        own = np.repeat(np.arange(len(n)), pieces)
+        cut = np.flatnonzero(pieces[own] > 1)
+        a = start[own[cut]] + (cut - at[own[cut]]) * PIECE
+        h = h[own]
+        h[cut] = hash_spans(low, a, np.minimum(a + PIECE, end[own[cut]]))
+    h = h >> _U(64 - VALUE_BITS)
     out, counts = [], []
-    for i in range(0, len(first), 1 << LINE_BITS):  # the rest of a sort key holds 44 bits of the hash
+    for i in range(0, len(first), 1 << LINE_BITS):
         lo, hi = at[first[i : i + (1 << LINE_BITS)]], at[stop[i : i + (1 << LINE_BITS)]]
         size = hi - lo
         to = np.concatenate(([0], np.cumsum(size)))
-        line = np.repeat(np.arange(len(size), dtype=_U), size)
-        mine = h[np.repeat(lo - to[:-1], size) + np.arange(to[-1])]
-        order = np.argsort(line << _U(64 - LINE_BITS) | mine >> _U(LINE_BITS))
-        mine, line = mine[order], line[order]
-        new = np.ones(len(mine), bool)
-        new[1:] = (mine[1:] != mine[:-1]) | (line[1:] != line[:-1])
-        out.append(mine[new])
-        counts.append(np.bincount(line[new].astype(np.int64), minlength=len(size)))
+        both = np.repeat(np.arange(len(size), dtype=_U) << _U(VALUE_BITS), size) | h[np.repeat(lo - to[:-1], size) + np.arange(to[-1])]
+        both.sort()
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+        out.append(both & _U((1 << VALUE_BITS) - 1))
+        counts.append(np.bincount((both >> _U(VALUE_BITS)).astype(np.int64), minlength=len(size)))
     return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, _U), np.zeros(0, np.int64))
 
 
@@ -133,17 +139,14 @@ def _classes(size: np.ndarray) -> np.ndarray:
     return np.where(size < SMALL, 0, np.floor(np.log2(np.maximum(size, 1) / 4 + 1e-9))).astype(np.int64)
 
 
-def _block_keys(h: np.ndarray, size: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and lines of lines cut in 2**c blocks."""
+def _block_keys(value: np.ndarray, size: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and lines of lines of `size` features, each cut in 2**c blocks. A value's upper bits are its block, its mix() is its votes."""
     line = np.repeat(np.arange(len(size)), size)
-    block = (mix(h ^ _U(0x9E3779B97F4A7C15)) >> _U(64 - c)).astype(np.int64)
-    group = line << c | block
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    lead = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    votes = np.diff(np.append(lead, len(group)))
-    sim = majority(h[order], votes)
-    of = group[lead] >> c
+    block = value >> np.repeat(VALUE_BITS - c, size).astype(_U)
+    lead = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (line[1:] != line[:-1]))))
+    votes = np.diff(np.append(lead, len(value)))
+    sim = majority(mix(value), votes)
+    of = line[lead]
     begin = np.searchsorted(of, np.arange(len(size)))
     after = np.arange(len(lead)) + 1
     last = np.append(begin[1:], len(lead))[of]
@@ -151,7 +154,7 @@ def _block_keys(h: np.ndarray, size: np.ndarray, c: int) -> tuple[np.ndarray, np
     key = sim.copy()
     thin = votes < MIN_VOTES
     key[thin] = mix(sim[thin] + mix(sim[after[thin]]))
-    return mix(key ^ mix((group[lead] & (1 << c) - 1).astype(_U) + _U(c << 48))), of
+    return mix(key ^ mix(block[lead] + (c[of].astype(_U) << _U(48)))), of
 
 
 def _hole_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,20 +192,19 @@ def spans_mask(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
 
 
-def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and their lines; of each line the SimHash and whether it has SMALL features or more."""
-    h, size = features(low, start, end, first, stop)
+def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and their lines; of each line the SimHash and whether it has SMALL features or more. h: the words' hash_spans()."""
+    value, size = features(low, start, end, first, stop, hash_spans(low, start, end) if h is None else h)
     if not len(size):
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
     to = np.concatenate(([0], np.cumsum(size)))
     keys, lines = [], []
     own, near = _classes(size), _classes(np.ceil(size * SIMILARITY).astype(np.int64))
-    for c in range(1, int(own.max()) + 1):
-        which = np.flatnonzero((own == c) | (near == c))
+    for c, which in ((own, np.flatnonzero(own > 0)), (near, np.flatnonzero((near > 0) & (near != own)))):
         if len(which):
             n = size[which]
             cut = np.concatenate(([0], np.cumsum(n)))
-            k, at = _block_keys(h[np.repeat(to[which] - cut[:-1], n) + np.arange(cut[-1])], n, c)
+            k, at = _block_keys(value[np.repeat(to[which] - cut[:-1], n) + np.arange(cut[-1])], n, c[which])
             keys.append(k)
             lines.append(which[at])
     few = np.flatnonzero((own == 0) | (near == 0))
@@ -210,7 +212,7 @@ def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
     cut = np.concatenate(([0], np.cumsum(n)))
     w = np.repeat(first[few] - cut[:-1], n) + np.arange(cut[-1])
     k, at = _hole_keys(joined_words(low, start[w], end[w], np.repeat(np.arange(len(few)), n), len(few)))
-    return np.concatenate((*keys, k)), np.concatenate((*lines, few[at])), majority(h, size), size >= SMALL
+    return np.concatenate((*keys, k)), np.concatenate((*lines, few[at])), majority(mix(value), size), size >= SMALL
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -329,7 +331,7 @@ def _meet(texts: DataFrame, groups: int, similarity: float) -> DataFrame:
                 size = np.concatenate(([0], np.cumsum(((low & 0xC0) != 0x80).astype(np.int64))))
                 letters = np.concatenate(([0], np.cumsum(size[end] - size[start])))
                 length = letters[stop] - letters[first] + stop - first - 1
-                key, line, sim, wide = keys_of(low, start, end, first, stop)
+                key, line, sim, wide = keys_of(low, start, end, first, stop, h)
                 length = np.where(wide, length, -length)
                 order = np.argsort(key, kind="stable")
                 key, line = key[order], line[order]
@@ -403,29 +405,40 @@ def _apart(members: DataFrame, similarity: float) -> DataFrame:
 def _texts(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """gid, a, line (normalised) of all in the pairs."""
     ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
-    wanted = materialise(nodes.join(ends, "a").select("gid", "a", "b"), "wanted")
+    wanted = materialise(nodes.join(ends, "a").select("gid", "a", "place.block", "place.at"), "wanted")
     n = wanted.count()
     bits = int(np.log2(power_of_two(16 * n, 16, BITMAP_BITS)))
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("block", F.col("at").cast("long")).alias("a")), bits))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, shift = shared.value, np.uint64(64 - bits)
         for batch in batches:
-            for _, _, low, start, end, first, stop, _, _ in _lines(batch):
-                h = hash_spans(low, start, end)
-                a = hash_runs(h, first, stop)
-                hit = np.flatnonzero(set_in(seen, a >> shift))
-                _, once = np.unique(a[hit], return_index=True)
-                hit = hit[once]
-                size = stop[hit] - first[hit]
+            for block, _, data, cuts in opened(batch):
+                starts, _ = split_lines(data, cuts)
+                size = np.diff(starts)
+                if len(data):
+                    size -= (size > 0) & (data[starts[1:] - 1] == 10)
+                place = _xxhash64(np.arange(len(size)), int(_xxhash64(np.array([block]), 42)[0]))
+                hit = np.flatnonzero((size > 0) & set_in(seen, place >> shift))
+                size = size[hit]
                 cut = np.concatenate(([0], np.cumsum(size)))
-                w = np.repeat(first[hit] - cut[:-1], size) + np.arange(cut[-1])
-                line = joined_words(low, start[w], end[w], np.repeat(np.arange(len(hit)), size), len(hit))
-                b = hash_runs(h, first[hit], stop[hit], 1)
-                yield pa.record_batch([pa.array(a[hit].view(np.int64)), pa.array(b.view(np.int64)), line], names=["a", "b", "line"])
-
-    got = texts.select("block", "ids", "cuts", "texts").mapInArrow(fetch, "a long, b long, line string")
-    return materialise(got.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("line").alias("line")).join(wanted, ["a", "b"]).select("gid", "a", "line"), "candidates")
+                low, start, end, row, _ = normalised(data[np.repeat(starts[hit] - cut[:-1], size) + np.arange(cut[-1])], cut, cut)
+                line = joined_words(low, start, end, row, len(hit))
+                yield pa.record_batch([pa.array(np.full(len(hit), block)), pa.array(hit.astype(np.int32)), line], names=["block", "at", "line"])
+
+    got = texts.select("block", "ids", "cuts", "texts").mapInArrow(fetch, "block long, at int, line string")
+    return materialise(got.join(wanted, ["block", "at"]).select("gid", "a", "line"), "candidates")
+
+
+def _xxhash64(values: np.ndarray, seed: int) -> np.ndarray:
+    """Spark's xxhash64() of longs, after columns whose hash is `seed`."""
+    turn = lambda x, n: x << _U(n) | x >> _U(64 - n)
+    one, two, three, four = (_U(p) for p in _PRIMES[:4])
+    h = _U((seed + _PRIMES[4] + 8) % (1 << 64)) ^ turn(values.astype(np.int64).view(_U) * two, 31) * one
+    h = turn(h, 27) * one + four
+    h = (h ^ h >> _U(33)) * two
+    h = (h ^ h >> _U(29)) * three
+    return h ^ h >> _U(32)
 
 
 def _verify(pairs: DataFrame, known: DataFrame, on: str, similarity: float) -> DataFrame:
