@@ -261,7 +261,11 @@ def bit_counts(h: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Of each run the 64-bit value whose bits are 1 where they are in over half the run's values."""
-    counts = bit_counts(h, size)
+    return most_bits(bit_counts(h, size), size)
+
+
+def most_bits(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The 64-bit values of the bits that are in over half of each run, from bit_counts()."""
     over = counts > (size // 2).astype(counts.dtype)[:, None]
     return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_runs, hash_spans, hash_without, join_hot, majority, materialise, mix, power_of_two, spans, text_bytes
+from .common import bit_counts, hash_runs, hash_spans, hash_without, join_hot, majority, materialise, mix, most_bits, power_of_two, spans, text_bytes
 from .components import components
 from .packing import bitmap, blocks, joined_words, opened, pack, planes, set_in, unpack, unplanes
 
@@ -60,6 +60,8 @@ _FOLD[ord("0") : ord("9") + 1] = ord("0")
 _WORD = np.zeros(256, bool)
 _WORD[[ord("0"), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _U = np.uint64
+#: The first k bytes of eight.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 #: Fixed values of XXH64.
 _PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
@@ -106,6 +108,21 @@ def normalised(data: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[
     return low, start, end, line, np.searchsorted(line, np.arange(len(edges)))
 
 
+def hash_words(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its pieces of eight bytes are mixed in one after the other; words of over LONG bytes go by hash_spans()."""
+    size = end - start
+    eight = np.lib.stride_tricks.as_strided(np.concatenate((low, np.zeros(8, np.uint8))).view(np.uint8), (len(low) + 1, 8), (1, 1)).view("<u8").ravel() if len(low) else np.zeros(1, _U)
+    h = mix((size.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) ^ eight[start] & _KEEP[np.minimum(size, 8)])
+    for k in range(8, LONG, 8):
+        more = np.flatnonzero(size > k)
+        h[more] = mix(h[more] * _U(0xD1342543DE82EF95) ^ eight[start[more] + k] & _KEEP[np.minimum(size[more] - k, 8)])
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        cut = np.concatenate(([0], np.cumsum(size[long])))
+        h[long] = mix(hash_spans(low[np.repeat(start[long] - cut[:-1], size[long]) + np.arange(cut[-1])], cut[:-1], cut[1:]))
+    return h
+
+
 def features(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different features of each line (words first to stop, one at least), as sorted numbers of VALUE_BITS, by line, and how many there are.
 
@@ -119,7 +136,7 @@ def features(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndar
         cut = np.flatnonzero(pieces[own] > 1)
         a = start[own[cut]] + (cut - at[own[cut]]) * PIECE
         h = h[own]
-        h[cut] = hash_spans(low, a, np.minimum(a + PIECE, end[own[cut]]))
+        h[cut] = hash_words(low, a, np.minimum(a + PIECE, end[own[cut]]))
     h = h >> _U(64 - VALUE_BITS)
     out, counts = [], []
     for i in range(0, len(first), 1 << LINE_BITS):
@@ -139,22 +156,31 @@ def _classes(size: np.ndarray) -> np.ndarray:
     return np.where(size < SMALL, 0, np.floor(np.log2(np.maximum(size, 1) / 4 + 1e-9))).astype(np.int64)
 
 
-def _block_keys(value: np.ndarray, size: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and lines of lines of `size` features, each cut in 2**c blocks. A value's upper bits are its block, its mix() is its votes."""
+def _block_keys(value: np.ndarray, size: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and lines of lines of `size` features, each cut in 2**c blocks; SimHash of each line. A value's upper bits are its block, its mix() is its votes."""
     line = np.repeat(np.arange(len(size)), size)
     block = value >> np.repeat(VALUE_BITS - c, size).astype(_U)
     lead = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (line[1:] != line[:-1]))))
     votes = np.diff(np.append(lead, len(value)))
-    sim = majority(mix(value), votes)
+    counts = bit_counts(mix(value), votes)
+    sim = most_bits(counts, votes)
     of = line[lead]
     begin = np.searchsorted(of, np.arange(len(size)))
+    whole = np.zeros(len(size), _U)
+    small = size < 256  # eight counters of eight bits are added at once
+    if counts.dtype == np.uint8 and small.any():
+        whole[small] = most_bits(np.add.reduceat(counts.view("<u8"), begin, axis=0)[small].view(np.uint8), size[small])
+    else:
+        small[:] = False
+    if not small.all():
+        whole[~small] = majority(mix(value[np.repeat(~small, size)]), size[~small])
     after = np.arange(len(lead)) + 1
     last = np.append(begin[1:], len(lead))[of]
     after = np.where(after == last, begin[of], after)
     key = sim.copy()
     thin = votes < MIN_VOTES
     key[thin] = mix(sim[thin] + mix(sim[after[thin]]))
-    return mix(key ^ mix(block[lead] + (c[of].astype(_U) << _U(48)))), of
+    return mix(key ^ mix(block[lead] + (c[of].astype(_U) << _U(48)))), of, whole
 
 
 def _hole_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,18 +219,19 @@ def spans_mask(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 
 
 def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and their lines; of each line the SimHash and whether it has SMALL features or more. h: the words' hash_spans()."""
-    value, size = features(low, start, end, first, stop, hash_spans(low, start, end) if h is None else h)
+    """Keys and their lines; of each line whether it has SMALL features or more, and the SimHash if so. h: the words' hash_words()."""
+    value, size = features(low, start, end, first, stop, hash_words(low, start, end) if h is None else h)
     if not len(size):
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
     to = np.concatenate(([0], np.cumsum(size)))
     keys, lines = [], []
+    sim = np.zeros(len(size), _U)
     own, near = _classes(size), _classes(np.ceil(size * SIMILARITY).astype(np.int64))
     for c, which in ((own, np.flatnonzero(own > 0)), (near, np.flatnonzero((near > 0) & (near != own)))):
         if len(which):
             n = size[which]
             cut = np.concatenate(([0], np.cumsum(n)))
-            k, at = _block_keys(value[np.repeat(to[which] - cut[:-1], n) + np.arange(cut[-1])], n, c[which])
+            k, at, sim[which] = _block_keys(value[np.repeat(to[which] - cut[:-1], n) + np.arange(cut[-1])], n, c[which])
             keys.append(k)
             lines.append(which[at])
     few = np.flatnonzero((own == 0) | (near == 0))
@@ -212,7 +239,7 @@ def keys_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
     cut = np.concatenate(([0], np.cumsum(n)))
     w = np.repeat(first[few] - cut[:-1], n) + np.arange(cut[-1])
     k, at = _hole_keys(joined_words(low, start[w], end[w], np.repeat(np.arange(len(few)), n), len(few)))
-    return np.concatenate((*keys, k)), np.concatenate((*lines, few[at])), majority(mix(value), size), size >= SMALL
+    return np.concatenate((*keys, k)), np.concatenate((*lines, few[at])), sim, size >= SMALL
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -239,14 +266,14 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
             return score + i - len(b)
         eq = where.get(c, 0)
         x = eq | down
-        d = ((eq & up) + up ^ up) | x
-        ph, mh = down | ~(d | up) & full, up & d
+        d = (((eq & up) + up ^ up) | x) & full
+        ph, mh = down | (d | up) ^ full, up & d
         if ph & top:
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
-        up, down = mh | ~(x | ph) & full, ph & x
+        ph = (ph << 1 | 1) & full
+        up, down = mh << 1 & full | (x | ph) ^ full, ph & x
     return score
 
 
@@ -325,7 +352,7 @@ def _meet(texts: DataFrame, groups: int, similarity: float) -> DataFrame:
             for _, _, low, start, end, first, stop, _, _ in _lines(batch):
                 if not len(first):
                     continue
-                h = hash_spans(low, start, end)
+                h = hash_words(low, start, end)
                 a, once = np.unique(hash_runs(h, first, stop), return_index=True)
                 first, stop = first[once], stop[once]
                 size = np.concatenate(([0], np.cumsum(((low & 0xC0) != 0x80).astype(np.int64))))
@@ -333,13 +360,13 @@ def _meet(texts: DataFrame, groups: int, similarity: float) -> DataFrame:
                 length = letters[stop] - letters[first] + stop - first - 1
                 key, line, sim, wide = keys_of(low, start, end, first, stop, h)
                 length = np.where(wide, length, -length)
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key)
                 key, line = key[order], line[order]
                 cut = np.searchsorted(key >> shift, np.arange(groups + 1, dtype=_U)).tolist()
                 full = [(g, slice(cut[g], cut[g + 1])) for g in range(groups) if cut[g] < cut[g + 1]]
                 a, sim, length = a[line].view(np.int64), sim[line], length[line].astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array([g for g, _ in full], pa.int32()), pa.array([pack(key[p]) for _, p in full], pa.binary()), *(pa.array([planes(v[p]) for _, p in full], pa.binary()) for v in (a, sim, length))],
+                    [pa.array([g for g, _ in full], pa.int32()), pa.array([pack(key[p]) for _, p in full], pa.binary()), *(pa.array([v[p].tobytes() for _, p in full], pa.binary()) for v in (a, sim)), pa.array([planes(length[p]) for _, p in full], pa.binary())],
                     names=["g", "key", "a", "sim", "length"],
                 )
 
@@ -351,7 +378,8 @@ def _meet(texts: DataFrame, groups: int, similarity: float) -> DataFrame:
         shared[1:] = key[1:] == key[:-1]
         shared[:-1] |= shared[1:]
         key, order = key[shared], order[shared]
-        a, sim, length = (np.concatenate([unplanes(x.as_py(), kind) for x in group.column(v)])[order] for v, kind in (("a", "<i8"), ("sim", "<u8"), ("length", "<i4")))
+        a, sim = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(v)])[order] for v, kind in (("a", "<i8"), ("sim", "<u8")))
+        length = np.concatenate([unplanes(x.as_py(), "<i4") for x in group.column("length")])[order]
         order = np.lexsort((a, key))
         key, a, sim, length = key[order], a[order], sim[order], length[order]
         new = np.ones(len(key), bool)  # a line is once in a key, however many blocks of texts have it
@@ -462,7 +490,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, low, start, end, first, stop, line, row in _lines(batch):
-                h = hash_spans(low, start, end)
+                h = hash_words(low, start, end)
                 a, b = hash_runs(h, first, stop), hash_runs(h, first, stop, 1)
                 own = ids.fill_null(_LAST).to_numpy()[row]
                 yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(own), pa.array(np.full(len(a), block)), pa.array(line.astype(np.int32))], names=["a", "b", "own", "block", "at"])
