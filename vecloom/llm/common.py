@@ -146,12 +146,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of True in `inside`; runs end at the rows' offsets."""
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of True in `inside`; runs end at the rows' offsets."""
     n = len(inside)
     if n == 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     cut = off[(off > 0) & (off < n)]
@@ -159,7 +158,12 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     after[cut - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """runs(), and the row of each."""
+    start, end = runs(inside, off)
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 

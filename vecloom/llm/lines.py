@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_counts, hash_runs, hash_spans, hash_without, join_hot, majority, materialise, mix, most_bits, power_of_two, spans, text_bytes
+from .common import bit_counts, hash_runs, hash_spans, hash_without, join_hot, majority, materialise, mix, most_bits, power_of_two, runs, spans, text_bytes
 from .components import components
 from .packing import bitmap, blocks, joined_words, opened, pack, planes, set_in, unpack, unplanes
 
@@ -103,15 +103,15 @@ def normalised(data: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[
     breaks = np.flatnonzero(low == 10) + 1
     edges = np.sort(np.concatenate((off[:-1], breaks, [len(low)])), kind="stable")
     inside, more = _word_mask(low)
-    start, end, _ = spans(inside, np.unique(np.concatenate((edges, more))))
-    line = np.searchsorted(edges[:-1], start, side="right") - 1
-    return low, start, end, line, np.searchsorted(line, np.arange(len(edges)))
+    start, end = runs(inside, np.concatenate((edges, more)))
+    first = np.searchsorted(start, edges)
+    return low, start, end, np.repeat(np.arange(len(edges) - 1), np.diff(first)), first
 
 
 def hash_words(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: its pieces of eight bytes are mixed in one after the other; words of over LONG bytes go by hash_spans()."""
     size = end - start
-    eight = np.lib.stride_tricks.as_strided(np.concatenate((low, np.zeros(8, np.uint8))).view(np.uint8), (len(low) + 1, 8), (1, 1)).view("<u8").ravel() if len(low) else np.zeros(1, _U)
+    eight = np.ndarray(len(low) + 1, "<u8", np.concatenate((low, np.zeros(8, np.uint8))), strides=1)  # the eight bytes from each place on
     h = mix((size.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) ^ eight[start] & _KEEP[np.minimum(size, 8)])
     for k in range(8, LONG, 8):
         more = np.flatnonzero(size > k)
