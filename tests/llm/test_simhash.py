@@ -119,3 +119,16 @@ def test_clashing_names_and_equal_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __key long, __HIT boolean, other long")
     got = {tuple(r) for n in (1, 4) for r in S.keep_one(docs.repartition(n)).collect()}
     assert len(got) == 2 and {r[0] for r in got} == {1, 3} and got <= set(rows)
+
+
+def test_a_used_worker_forgets_other_stages():
+    import numpy as np
+
+    from vecloom.llm import bpe, common
+
+    data = np.frombuffer(b"one two", np.uint8)
+    first = common.hash_spans(data, np.array([0, 4]), np.array([3, 7]))
+    bpe._codecs["held"] = None
+    common.forget()
+    assert not common._powers and not bpe._codecs
+    assert (common.hash_spans(data, np.array([0, 4]), np.array([3, 7])) == first).all()

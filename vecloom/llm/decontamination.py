@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_runs, hash_spans, materialise, power_of_two, slices, spans, text_bytes
+from .common import forget, hash_runs, hash_spans, materialise, power_of_two, slices, spans, text_bytes
 from .packing import bitmap, set_in, without
 
 WIDTH = 5
@@ -193,8 +193,9 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - bits)
+        forget()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 18):
                 code, value, row = template(*text_bytes(part.column("text")))
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 for m, k in kinds:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, majority, materialise, mix, power_of_two, slices, text_bytes, words
+from .common import forget, join_hot, majority, materialise, mix, power_of_two, slices, text_bytes, trim, words
 from .components import components
 from .packing import bitmap, pack, set_in, unpack, without
 
@@ -34,6 +34,10 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of a chunk as a power of two: 2**11 have 4.3 million variants.
 CHUNK_BITS = 11
+#: Bytes of text that are cut in shingles at once.
+PART_BYTES = 1 << 18
+#: Fingerprints whose variants are hashed at once.
+MIXED = 64
 #: Variants of a reduce group, about.
 GROUP = 1 << 20
 #: Bits of a variant's hash beyond the logarithm of their number.
@@ -84,8 +88,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, cols: tuple[str, ...]
     width = len(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 fp = fingerprints_of(part.column("text"), shingle).view(np.int64)
                 yield pa.record_batch([*part.columns[:width], pa.array(fp)], names=[*cols, "fp"])
 
@@ -138,9 +143,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         for batch in batches:
             for chunk, fps in zip(batch.column("chunk").to_pylist(), batch.column("fps"), strict=True):
                 fp = fps.values.to_numpy().view(np.uint64)
-                key = mix((fp[:, None] ^ ball).ravel()) >> np.uint64(64 - bits)
-                key <<= np.uint64(CHUNK_BITS)
-                key |= np.repeat(np.arange(len(fp), dtype=np.uint64), len(ball))
+                place = np.arange(len(fp), dtype=np.uint64)[:, None]
+                key = np.empty((len(fp), len(ball)), np.uint64)
+                for i in range(0, len(fp), MIXED):  # what is in between stays small
+                    key[i : i + MIXED] = mix(fp[i : i + MIXED, None] ^ ball) >> np.uint64(64 - bits) << np.uint64(CHUNK_BITS) | place[i : i + MIXED]
+                key = key.ravel()
                 key.sort()
                 cut = np.searchsorted(key, np.arange(groups + 1, dtype=np.uint64) << np.uint64(low)).tolist()
                 cut[-1] = len(key)
@@ -148,8 +155,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 for i in range(0, len(full), 64):
                     some = full[i : i + 64]
                     yield pa.record_batch([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([pack(key[cut[g] : cut[g + 1]]) for g in some], pa.binary())], names=["g", "chunk", "keys"])
+                del key
+                trim()
 
     def meet(group: pa.Table) -> pa.Table:
+        out = stars_of(group)
+        trim()
+        return out
+
+    def stars_of(group: pa.Table) -> pa.Table:
         keys, own = [], []
         chunk = group.column("chunk").to_numpy()
         for i, blob in enumerate(group.column("keys")):

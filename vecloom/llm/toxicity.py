@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, mix, slices, spans, text_bytes, trim
+from .common import forget, hash_spans, mix, slices, spans, text_bytes, trim
 
 BUCKET_BITS = 18
 DIM = 8
@@ -219,8 +219,9 @@ def keep(docs: DataFrame, weights: np.ndarray, bias: float, below: float) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 18):
                 yield part.filter(pa.array(score_texts(part.column("text"), shared.value, bias) < below))
 
     return docs.mapInArrow(run, docs.schema)
